@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import burst_trie, distinctive, heavy_hitters
+from . import burst_trie, distinctive, handwritten, heavy_hitters, syntax
 
 P1_SHARE = 0.004
 
@@ -45,7 +45,28 @@ def p3_found(spark, sf):
     return p3_counts(spark, sf).filter("mark is not null").select("term", "mark")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_summary, p2_found, p2_scores, p3_found, p3_counts)}
+def p4_files(spark, sf):
+    return syntax.check_files(_read(spark, sf, "source_file"))
+
+
+def p4_found(spark, sf):
+    return p4_files(spark, sf).filter("status = 'invalid'").select("file_id")
+
+
+def p4_rates(spark, sf):
+    return syntax.invalid_rates(p4_files(spark, sf), _read(spark, sf, "docs_bin"))
+
+
+def p7_files(spark, sf):
+    files = _read(spark, sf, "source_file")
+    return handwritten.kinds(files, handwritten.name_model(files))
+
+
+def p7_found(spark, sf):
+    return p7_files(spark, sf).filter("size(kinds) > 0").select("file_id")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_summary, p2_found, p2_scores, p3_found, p3_counts, p4_found, p4_files, p4_rates, p7_found, p7_files)}
 
 _PAIRS = "(select term, file_id, max(coalesce(freq, 1)) as freq from spill_file where term <> '' and file_id is not null group by all)"
 _LENGTHS = f"(select file_id, coalesce(arg_max(doc_length, indexed_at), max(summed), 0) as length from (select file_id, doc_length, indexed_at, null as summed from (select * from docs_bin qualify row_number() over (partition by file_id order by indexed_at desc, doc_length desc nulls last) = 1) union all select file_id, null, null, sum(freq) from {_PAIRS} group by file_id) group by file_id)"
