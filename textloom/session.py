@@ -22,6 +22,9 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
     )
 
 
+_own: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder, from ``spark.checkpoint.dir``.
 
@@ -29,15 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
     cluster a missing setting is an error, as a machine-local folder would be
     unreadable for the other executors.
     """
-    conf = spark.sparkContext.getConf()
-    found = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir")
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or _own.get(sc.applicationId)
     if found:
         return found.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
+    if not sc.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    made = tempfile.mkdtemp(prefix="textloom-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    return _own.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="textloom-"))
 
 
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
