@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import burst_trie, distinctive, handwritten, heavy_hitters, syntax
+from . import burst_trie, distinctive, handwritten, heavy_hitters, set_join, syntax, vector_graph
 
 P1_SHARE = 0.004
 
@@ -57,6 +57,39 @@ def p4_rates(spark, sf):
     return syntax.invalid_rates(p4_files(spark, sf), _read(spark, sf, "docs_bin"))
 
 
+#: p5_found: shards that each file's vector searches, and the width of its beam.
+P5_PROBES, P5_BEAM = 4, 48
+
+
+def p5_found(spark, sf):
+    near = vector_graph.nearest(_read(spark, sf, "file_vector"), "file_id", "vec", k=5, beam=P5_BEAM, probes=P5_PROBES)
+    close = near.filter("similarity >= 0.9")
+    return close.select(F.least("key", "other").alias("file_id_a"), F.greatest("key", "other").alias("file_id_b")).distinct()
+
+
+def p5_nearest(spark, sf):
+    """The five nearest of every file whose id is divisible by 50, against all files in every shard."""
+    near = vector_graph.nearest(_read(spark, sf, "file_vector"), "file_id", "vec", k=5, beam=64, only=lambda key: F.pmod(key, F.lit(50)) == 0)
+    return near.select(F.col("key").alias("file_id"), "other", F.round("similarity", 4).alias("similarity"))
+
+
+def _p6(spark, sf):
+    classes, members = set_join.set_classes(_read(spark, sf, "forward_bin"), "file_id", F.filter(F.col("terms.term"), lambda t: t != ""), 5)
+    return set_join.similar_classes(classes, 0.7), members
+
+
+def p6_found(spark, sf):
+    pairs, members = _p6(spark, sf)
+    return set_join.member_pairs(pairs, members).select(F.col("key_a").alias("file_id_a"), F.col("key_b").alias("file_id_b"))
+
+
+def p6_classes(spark, sf):
+    """Each file with the representative of its set and how many other sets are similar to that."""
+    pairs, members = _p6(spark, sf)
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count("*").alias("links"))
+    return members.join(ends, "rep", "left").select(F.col("key").alias("file_id"), F.col("rep").alias("class_id"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def p7_files(spark, sf):
     files = _read(spark, sf, "source_file")
     return handwritten.kinds(files, handwritten.name_model(files))
@@ -66,17 +99,26 @@ def p7_found(spark, sf):
     return p7_files(spark, sf).filter("size(kinds) > 0").select("file_id")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_summary, p2_found, p2_scores, p3_found, p3_counts, p4_found, p4_files, p4_rates, p7_found, p7_files)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_summary, p2_found, p2_scores, p3_found, p3_counts, p4_found, p4_files, p4_rates, p5_found, p5_nearest, p6_found, p6_classes, p7_found, p7_files)}
 
 _PAIRS = "(select term, file_id, max(coalesce(freq, 1)) as freq from spill_file where term <> '' and file_id is not null group by all)"
 _LENGTHS = f"(select file_id, coalesce(arg_max(doc_length, indexed_at), max(summed), 0) as length from (select file_id, doc_length, indexed_at, null as summed from (select * from docs_bin qualify row_number() over (partition by file_id order by indexed_at desc, doc_length desc nulls last) = 1) union all select file_id, null, null, sum(freq) from {_PAIRS} group by file_id) group by file_id)"
 _SCORES = f"select file_id, term, freq::bigint as tf, df, ln(1 + (n - df + 0.5) / (df + 0.5)) * freq * 2.2 / (freq + 1.2 * (0.25 + 0.75 * length / average)) as score from {_PAIRS} join (select term, count(*) as df from {_PAIRS} group by term) using (term) join {_LENGTHS} using (file_id), (select count(*) as n, avg(length) as average from {_LENGTHS})"
 _COUNTS = f"(select term, sum(freq)::bigint as occurrences, count(*) as files, case when count(*) < 3 then 'rare' when count(*) > 0.45 * (select count(distinct file_id) from docs_bin) then 'common' end as mark from {_PAIRS} group by term)"
 
+_SET_TERMS = "(select file_id, term, count(*) over (partition by file_id) as n from (select distinct file_id, u.term as term from (select file_id, unnest(terms) as u from forward_bin) where u.term <> '') qualify n >= 5)"
+_SET_PAIRS = f"(select x.file_id as a, y.file_id as b from {_SET_TERMS} x join {_SET_TERMS} y on x.term = y.term and x.file_id < y.file_id group by all having count(*) >= 0.7 * (min(x.n) + min(y.n) - count(*)))"
+_CLASSES = f"(select file_id, min(file_id) over (partition by s) as rep from (select file_id, string_agg(term, chr(1) order by term) as s from {_SET_TERMS} group by file_id))"
+_CLASS_LINKS = f"(select rep, count(distinct other) as links from (select x.rep as rep, y.rep as other from {_SET_PAIRS} join {_CLASSES} x on a = x.file_id join {_CLASSES} y on b = y.file_id union all select y.rep, x.rep from {_SET_PAIRS} join {_CLASSES} x on a = x.file_id join {_CLASSES} y on b = y.file_id) where rep <> other group by rep)"
+_UNIT = "(select file_id, list_transform(vec, lambda x: x::double / n) as v from (select distinct file_id, vec, sqrt(list_sum(list_transform(vec, lambda x: x::double * x::double))) as n from file_vector where vec is not null) where n > 0)"
+
 ORACLE_SQL = {
     "p1_found": "select term from spill_file where term <> '' group by term having count(*) >= 0.004 * (select count(*) from spill_file where term <> '')",
     "p2_found": f"select file_id, arg_min(term, (-score, term)) as term from ({_SCORES}) where file_id in (select file_id from probe_file) group by file_id",
     "p2_scores": f"select file_id, term, tf, df, round(score, 6) as score from ({_SCORES})",
     "p3_found": f"select term, mark from {_COUNTS} where mark is not null",
     "p3_counts": f"select * from {_COUNTS}",
+    "p5_found": f"select distinct least(a, b) as file_id_a, greatest(a, b) as file_id_b from (select a.file_id as a, b.file_id as b, list_dot_product(a.v, b.v) as c from {_UNIT} a join {_UNIT} b on a.file_id <> b.file_id qualify row_number() over (partition by a.file_id order by c desc, b.file_id) <= 5) where c >= 0.9",
+    "p6_found": f"select a as file_id_a, b as file_id_b from {_SET_PAIRS}",
+    "p6_classes": f"select file_id, rep as class_id, coalesce(links, 0) as links from {_CLASSES} left join {_CLASS_LINKS} using (rep)",
 }
