@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import burst_trie, distinctive, handwritten, heavy_hitters, sentences, set_join, syntax, vector_graph
+from . import burst_trie, distinctive, handwritten, heavy_hitters, mixing, packing, sentences, set_join, syntax, tokens, vector_graph
 
 P1_SHARE = 0.004
 
@@ -99,11 +99,38 @@ def p7_found(spark, sf):
     return p7_files(spark, sf).filter("size(kinds) > 0").select("file_id")
 
 
+def _specs(spark, sf):
+    return [(r["spec_id"], r["capacity"]) for r in _read(spark, sf, "container_spec").orderBy("spec_id").collect()]
+
+
+def p8_containers(spark, sf):
+    """Sizes are tokens of ``byte_bpe_multi_50k``."""
+    return packing.pack(tokens.token_sizes(_read(spark, sf, "documents")), _specs(spark, sf))
+
+
+def p8_filled(spark, sf):
+    return packing.fill_report(p8_containers(spark, sf), _specs(spark, sf))
+
+
+def _mixed(spark, sf):
+    sizes = tokens.token_sizes(_read(spark, sf, "documents"), keep=("source",))
+    return mixing.mix(sizes, _read(spark, sf, "mix_target"))
+
+
+def p9_selection(spark, sf):
+    """Sizes are tokens of ``byte_bpe_multi_50k``."""
+    return _mixed(spark, sf)[0]
+
+
+def p9_shares(spark, sf):
+    return _mixed(spark, sf)[1]
+
+
 def p10_found(spark, sf):
     return sentences.sentence_units(_read(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_summary, p2_found, p2_scores, p3_found, p3_counts, p4_found, p4_files, p4_rates, p5_found, p5_nearest, p6_found, p6_classes, p7_found, p7_files, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_summary, p2_found, p2_scores, p3_found, p3_counts, p4_found, p4_files, p4_rates, p5_found, p5_nearest, p6_found, p6_classes, p7_found, p7_files, p8_containers, p8_filled, p9_selection, p9_shares, p10_found)}
 
 _PAIRS = "(select term, file_id, max(coalesce(freq, 1)) as freq from spill_file where term <> '' and file_id is not null group by all)"
 _LENGTHS = f"(select file_id, coalesce(arg_max(doc_length, indexed_at), max(summed), 0) as length from (select file_id, doc_length, indexed_at, null as summed from (select * from docs_bin qualify row_number() over (partition by file_id order by indexed_at desc, doc_length desc nulls last) = 1) union all select file_id, null, null, sum(freq) from {_PAIRS} group by file_id) group by file_id)"
