@@ -4,7 +4,7 @@ Two passes over the files. The first counts the character trigrams of all
 identifiers per language, hashed into a table of fixed size. The second scores
 each file against that model and its own name statistics:
 
-* minified: names dear to the model (bits per character) and short, in text with hardly any blanks;
+* minified: names dear to the model (cross-entropy per character, over the mean of the language) and short, in text with hardly any blanks;
 * generated: a tool's notice in the leading comments, a tool's file name or output folder, lock files,
   or names of low diversity, the same few templates with running numbers;
 * vendored: a notice of origin, a folder for third-party code, the same body as a file so marked,
@@ -66,7 +66,7 @@ _ENTRY = re.compile(r"\"v?\d+(?:\.\d+)+[\w.+-]*\"")
 _RUNNING = re.compile(rb"\d+")
 
 #: Decision bounds over the scores; all are parameters of ``kinds``.
-BOUNDS = {"bits": 2.8, "short": 0.45, "blank": 0.10, "running": 0.35, "numbers": 0.60, "encoded": 0.60, "foreign": 0.98, "uncommon": 0.10}
+BOUNDS = {"bits": 1.05, "short": 0.45, "blank": 0.10, "running": 0.35, "numbers": 0.60, "encoded": 0.60, "foreign": 0.98, "uncommon": 0.10}
 
 
 def names_of(content: bytes) -> list[bytes]:
@@ -97,7 +97,7 @@ def styles(names: list[bytes]) -> tuple[int, int]:
 
 @dataclass
 class NameModel:
-    """``bits``: per language and trigram bucket; ``snake``: the languages' share of underscored among all joined names."""
+    """``bits``: per language and trigram bucket, over the language's mean; ``snake``: the languages' share of underscored among all joined names."""
 
     bits: np.ndarray
     snake: np.ndarray
@@ -119,8 +119,10 @@ def model_of(cells: np.ndarray, n: np.ndarray) -> NameModel:
     counts = np.zeros(len(_LANGUAGES) * _WIDTH)
     np.add.at(counts, cells, n)
     counts = counts.reshape(len(_LANGUAGES), _WIDTH)
-    grams, (snake, camel) = counts[:, :BUCKETS] + 0.5, counts[:, BUCKETS:].T
-    return NameModel((-np.log2(grams / grams.sum(axis=1, keepdims=True))).astype(np.float32), (snake + 1) / (snake + camel + 2))
+    grams, (snake, camel) = counts[:, :BUCKETS] + 0.01, counts[:, BUCKETS:].T
+    share = grams / grams.sum(axis=1, keepdims=True)
+    bits = -np.log2(share)
+    return NameModel((bits / (share * bits).sum(axis=1, keepdims=True)).astype(np.float32), (snake + 1) / (snake + camel + 2))
 
 
 def _held(files: DataFrame, file_id: str | None, path: str, content: str) -> DataFrame:
@@ -163,7 +165,7 @@ def file_scores(content: bytes, bits: np.ndarray | None = None, snake: float = 0
         out["short"] = sum(len(n) <= 2 for n in names) / len(names)
         grams, starts = trigrams(names)
         if bits is not None:
-            out["bits"] = float(np.median(np.add.reduceat(bits[grams], starts) / np.diff(np.append(starts, len(grams))))) / 4
+            out["bits"] = float(np.median(np.add.reduceat(bits[grams], starts) / np.diff(np.append(starts, len(grams)))))
         joined = styles(names)
         if sum(joined) >= 40:
             rare = 0 if snake < 0.5 else 1
