@@ -31,7 +31,7 @@ INVALID = {
     "java": ["class A { void f() { }", "class A { String s = \"open; }", "package a\nimport b.c\nfun f(x: T): U {\n    return x\n}\n", "class A { int f() { return 1 } }", "class A } {"],
     "go": ["", "func f() {}\n", "package p\nfunc f() {\n", "package a.b;\npublic class C {\n}\n", "package p\nvar s = \"open\n", "package p\nvar r = `never\n"],
     "rust": ["fn f() { let x = (1; }", "package a.b;\npublic class C {\n  private static T f(U x) {\n    return x;\n  }\n}\n", "fn f() { let s = \"never; }", "/* /* */ fn f() {}"],
-    "kotlin": ["fun f() {", "package a;\npublic class C {\n  private static T f(U x) {\n    char c = '{';\n  }\n}\n", 'val s = "open\n'],
+    "kotlin": ["fun f() {", "package a;\npublic class C {\n  private static T f(U x) {\n    char c = '{';\n  }\n}\n", 'val s = "open\n', "import a as b\nfrom c import d\n", "def f(x, *a):\n    return x\n", "if x:\n    y = 1\n"],
     "json": ["", '{"a": 1,}', "{'a': 1}", '{"a": 1 "b": 2}', '{"a": [1, 2}', '{"a": "open}', "// c\n{}", '{"a": NaN}', '{"a": 1}{}', "{\n<<<<<<< a\n}"],
     "toml": ["a = ", "[late\nx = 1", 'a = "open', '{"a": 1}', "a = [1", "<<<<<<< x\na = 1\n"],
     "xml": ["", "<a><b></a>", "<a>", "<a b=c/>", "<a/><b/>", "<a>x & y</a>", "a = 1\n", "<a><b</a>"],

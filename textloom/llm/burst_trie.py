@@ -69,14 +69,15 @@ class BurstTrie:
 
 
 def routing_trie(spark: SparkSession, terms: DataFrame, sample: int = SAMPLE, routes: int = ROUTES) -> frozenset[str]:
-    """Inner prefixes of a trie burst from at most ``sample`` terms, to be shared by all workers.
+    """Inner prefixes of a trie burst from about ``sample`` terms, to be shared by all workers.
 
     The sample steers the balance alone; every term is counted whatever its route.
     """
-    seen = terms.select("term").filter("term is not null and term <> ''").sample(min(1.0, 0.02), seed=7).limit(sample)
+    rows = terms.count()  # from the files' footers
+    seen = terms.select("term").filter("term is not null and term <> ''").sample(min(1.0, sample / max(1, rows)), seed=7).toPandas()["term"]
     trie = BurstTrie(max(1, sample // routes // 4))
-    for i, row in enumerate(seen.toLocalIterator()):
-        trie.add(row["term"] + "\0" + str(i), 1, 1)  # occurrences weigh, so a hot term gets a route of its own
+    for i, term in enumerate(seen):
+        trie.add(f"{term}\0{i}", 1, 1)  # occurrences weigh, so a hot term gets a route of its own
     return frozenset(p.partition("\0")[0] for p in trie.inner)
 
 

@@ -238,7 +238,9 @@ def kinds(files: DataFrame, model: NameModel, file_id: str = "file_id", path: st
     from ..session import materialize
 
     one = materialize(one, "kinds")
-    origin = one.filter("digest is not null and array_contains(kinds, 'vendored')").select("digest").distinct().withColumn("copied", F.lit(True))
-    marked = one.join(origin, "digest", "left")
+    bodies = one.filter("digest is not null")
+    origin = bodies.filter("array_contains(kinds, 'vendored')").select("digest").distinct().withColumn("copied", F.lit(True))
+    # Rows without a digest stay out of the join, where they would all meet in one task.
+    marked = bodies.join(origin, "digest", "left").drop("digest").unionByName(one.filter("digest is null").drop("digest").withColumn("copied", F.lit(None).cast("boolean")))
     added = F.when(F.col("copied") & ~F.array_contains("kinds", "vendored"), F.concat("kinds", F.array(F.lit("vendored")))).otherwise(F.col("kinds"))
     return marked.select("file_id", "language", added.alias("kinds"), "bits", "running", "blank", "short", "numbers", "encoded")

@@ -11,6 +11,7 @@ line break like LF. Whole texts are processed, in one pass per text.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -62,6 +63,7 @@ _MARK = regex.compile(r"[\"()\[\]{}（）［］「」『』《》〈〉【】«
 _END = regex.compile(r"(?:[\p{Sentence_Break=STerm}\p{Sentence_Break=ATerm}…]|(?<=\p{Greek});|(?<=\p{Devanagari}[ \t]?)\|)+")
 _WIDE = regex.compile(r"[。｡！？．︒⋯]")
 _STEM = regex.compile(r"(?:[\p{L}\p{M}]+\.)*[\p{L}\p{M}\d°ª]+\Z")
+_LEADING = regex.compile(r"[\s\-—–]*")
 _WORD = regex.compile(r"[\p{L}\p{M}\p{N}_]+")
 _UPPER = regex.compile(r"\p{Lu}")
 _LOWER = regex.compile(r"\p{Ll}")
@@ -117,14 +119,17 @@ def _blocks(text: str) -> Iterator[tuple[int, int, int]]:
 def _spans(text: str, start: int, end: int) -> list[tuple[int, int]]:
     """Outermost pairs of quotes and brackets; what has no partner is left out."""
     stack: list[tuple[str, int]] = []
+    awaited: Counter = Counter()
     found: list[tuple[int, int]] = []
     for m in _MARK.finditer(text, start, end):
         c, i = m.group(), m.start()
-        at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == c), None)
+        at = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == c) if awaited[c] else None
         if c == '"' and at is None or c != '"' and c in _PAIRS and not (c == "“" and at is not None and at == len(stack) - 1):
             stack.append(('"' if c == '"' else _PAIRS[c], i))
+            awaited[stack[-1][0]] += 1
         elif at is not None:
             found.append((stack[at][1], i + 1))
+            awaited.subtract(x for x, _ in stack[at:])
             del stack[at:]
     found.sort()
     outer: list[tuple[int, int]] = []
@@ -271,7 +276,7 @@ def _after_span(text: str, a: int, at: int, first: int, end: int, lowercased: bo
         return at
     if _END.match(text, i):
         return None
-    leads = not text[first:a].strip(" \t\r\n-—–")
+    leads = _LEADING.match(text, first, a).end() == a
     if text[a] in _BRACKETS:
         # A sentence in brackets of its own, or one that ends the sentence before.
         if leads:
@@ -280,7 +285,10 @@ def _after_span(text: str, a: int, at: int, first: int, end: int, lowercased: bo
     opens = _opens(text, i, end, lowercased)
     if opens is False:
         return None
-    introduced = text[first:a].rstrip().endswith((":", "：", ","))
+    before = a
+    while before > first and text[before - 1].isspace():
+        before -= 1
+    introduced = before > first and text[before - 1] in ":：,"
     if introduced:
         return None if not gap and not _NO_CASE.match(text[i]) and not text[i].isupper() else at
     if opens is True and gap:

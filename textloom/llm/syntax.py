@@ -66,22 +66,31 @@ _TS_WORDS = _words("typescript", "of asserts infer out accessor unique require g
 _RUST_WORDS = _words("rust", "auto raw safe union default macro_rules try yield box", "bool char str f32 f64 i8 i16 i32 i64 i128 isize u8 u16 u32 u64 u128 usize")
 _KT_WORDS = _words("kotlin", "actual annotation by crossinline expect external field file get infix noinline param property reified set tailrec where value")
 
+#: A condition without parentheses, and the heads of Python's statements.
+_BARE_IF = r"(?<![.\w$])(?:if|while)[ \t]+[\w$\x01!]"
+_PYTHON_HEAD = r"^[ \t]*(?:from[ \t]+[\w.]+[ \t]+import\b|(?:async[ \t]+)?def[ \t]+\w+[ \t]*\([^\n]*:[ \t]*$|(?:if|for|with|while|elif|except)\b[^\n{]*:[ \t]*$)"
+
 #: Shapes that no valid file of the language has, over its text without comments and with literals as placeholders.
 FOREIGN = {
     "javascript": [
         _adjacent(_JS_WORDS, r"[^\W\d][\w$]*"),
         r"\b(?:var|let|const)\s+[\w$]+\s*:|^(?!\s*(?:import|export)\b)[^\n{}*]*[\w$)\]]\s+as\s+[\w$<]|\)\s*:\s*[\w$.<>\[\]| ]+\s*(?:\{|=>)(?<!\? )",
+        _BARE_IF,
         r"\A\s*\{\s*\x01\s*:|:=|^\s*(?:import|from|def|class)\b[^\n;{(]*:[ \t]*$",
     ],
-    "typescript": [_adjacent(_TS_WORDS, r"[^\W\d][\w$]*"), r"\A\s*\{\s*\x01\s*:|:="],
+    "typescript": [_adjacent(_TS_WORDS, r"[^\W\d][\w$]*"), _BARE_IF, r"\A\s*\{\s*\x01\s*:|:="],
     "java": [
-        r":=|\?:|\?\.(?!\d)|=>|\([ \t]*[\w$]+[ \t]*:(?!:)|\b(?:return|throw|import|package)\b[^;{}()]*(?:\}|\Z)|^[ \t]*(?:fun|func|def|fn|val|let)[ \t]+\w+[ \t]*[(:]",
+        _BARE_IF,
+        _PYTHON_HEAD,
+        r":=|\?:|\?\.(?!\d)|=>|\([ \t]*[\w$]+[ \t]*:(?!:)|\b(?:return|throw|import|package)\b[^;{}()]{0,400}(?:\}|\Z)|^[ \t]*(?:fun|func|def|fn|val|let)[ \t]+\w+[ \t]*[(:]",
         r"\b(?:import|package)\s+[\w.*]+\s*\n\s*(?:import|package|public|class|private|fun|func|abstract|final|@)\b",
         r"\A\s*[{\[<#]|\A\s*\x01",
     ],
     "go": [r"\A(?!\s*(?:package\s+\w+\s*(?:;|\n|\Z)))", r"^[ \t]*(?:import|package)\b[^\n;(]*[.;][^\n]*;[ \t]*$|^\s*(?:public|private|class|fn|def|fun)\s+\w"],
     "rust": [_adjacent(_RUST_WORDS), r":=|\A\s*[{\[<]|\A\s*\x01"],
     "kotlin": [
+        _BARE_IF,
+        _PYTHON_HEAD,
         rf"^[ \t]*(?!(?:{_KT_WORDS})\b)[\w.]+(?:<[\w<>, ?]*>)?[ \t]+(?!(?:{_KT_WORDS})\b)\w+[ \t]*=(?!=)",
         rf"\bfor[ \t]*\([ \t]*\w+[ \t]+(?!in\b)\w+[ \t]*:|:=|\bimport[ \t]+static\b|\bnew[ \t]+\w+[ \t]*[(<]|^[ \t]*(?:(?:public|private|protected)[ \t]+)+(?:static[ \t]+)?(?!(?:{_KT_WORDS})\b)[\w<>]+[ \t]+\w+[ \t]*\(",
         r"\A\s*[{\[<]|\A\s*\x01",
@@ -106,19 +115,24 @@ def fault(language: str, source: bytes) -> str | None:
     return _code_fault(language, body)
 
 
+class _Unterminated(Exception):
+    pass
+
+
+def _reduce(m: re.Match) -> str:
+    """Comments as blanks, literals as the placeholder; ends the pass at the first that does not end."""
+    if m.lastgroup == "c":
+        return "\n" * m.group().count("\n") or " "
+    if m.lastgroup == "x":
+        raise _Unterminated("unterminated comment" if m.group() == "/*" else "unterminated literal")
+    return _LITERAL
+
+
 def _code_fault(language: str, body: str) -> str | None:
-    broken: list[str] = []
-
-    def reduce(m: re.Match) -> str:
-        if m.lastgroup == "c":
-            return "\n" * m.group().count("\n") or " "
-        if m.lastgroup == "x":
-            broken.append(m.group())
-        return _LITERAL
-
-    bare = _SKIP[language].sub(reduce, body)
-    if broken:
-        return "unterminated comment" if broken[0] == "/*" else "unterminated literal"
+    try:
+        bare = _SKIP[language].sub(_reduce, body)
+    except _Unterminated as e:
+        return str(e)
     if _MARKER.search(bare):
         return "conflict marker"
     stack: list[str] = []
