@@ -27,9 +27,9 @@ def budgets(available: DataFrame, targets: DataFrame, total: int | None = None)
     """A dict per target source with its budget in tokens.
 
     ``available``: ``source, tokens``; ``targets``: ``source, target_share, max_repeats``. Both have a row per source, few by nature.
-    Shares of sources without texts go to the others in proportion. Without ``total`` it is the largest at which
-    every source reaches its share; a larger one leaves the sources at their repeats and
-    shares out what they lack among the rest.
+    Shares of sources without texts go to the others in proportion. ``total`` is the size of the selection, by default
+    that of all texts of the target sources. A source that cannot reach its share stays at
+    its repeats, and what it lacks is shared out among the rest by their targets.
     """
     have = {r["source"]: r["tokens"] for r in available.join(targets.select(source_name(F.col("source")).alias("source")), "source", "left_semi").collect()}
     rows = []
@@ -39,9 +39,8 @@ def budgets(available: DataFrame, targets: DataFrame, total: int | None = None)
     for r in rows:
         r["cap"] = r["available"] * max(0, r["max_repeats"])
     live = [r for r in rows if r["cap"] > 0 and r["target_share"] > 0]
-    whole = sum(r["target_share"] for r in live)
     if total is None:
-        total = min((r["cap"] * whole / r["target_share"] for r in live), default=0)
+        total = sum(r["available"] for r in live)
     left, open_rows = float(total), list(live)
     for r in rows:
         r["budget"] = 0.0
