@@ -66,7 +66,7 @@ _ENTRY = re.compile(r"\"v?\d+(?:\.\d+)+[\w.+-]*\"")
 _RUNNING = re.compile(rb"\d+")
 
 #: Decision bounds over the scores; all are parameters of ``kinds``.
-BOUNDS = {"bits": 1.05, "short": 0.45, "blank": 0.10, "running": 0.35, "numbers": 0.60, "encoded": 0.60, "foreign": 0.98, "uncommon": 0.10}
+BOUNDS = {"bits": 1.05, "short": 0.45, "blank": 0.10, "running": 0.35, "numbers": 0.45, "encoded": 0.45, "foreign": 0.98, "uncommon": 0.10}
 
 
 def names_of(content: bytes) -> list[bytes]:
