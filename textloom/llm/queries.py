@@ -57,8 +57,9 @@ def p4_rates(spark, sf):
     return syntax.invalid_rates(p4_files(spark, sf), _read(spark, sf, "docs_bin"))
 
 
-#: p5_found: shards that each file's vector searches, and the width of its beam.
-P5_PROBES, P5_BEAM = 4, 48
+#: p5_found: shards that each file's vector searches, and the width of its beam, enough for pairs of 0.9 or more; p5_nearest also has to find the
+#: neighbours among near-random vectors, which takes a wider one.
+P5_PROBES, P5_BEAM, P5_WIDE_BEAM = 4, 48, 160
 
 
 def p5_found(spark, sf):
@@ -69,7 +70,7 @@ def p5_found(spark, sf):
 
 def p5_nearest(spark, sf):
     """The five nearest of every file whose id is divisible by 50, against all files in every shard."""
-    near = vector_graph.nearest(_read(spark, sf, "file_vector"), "file_id", "vec", k=5, beam=64, only=lambda key: F.pmod(key, F.lit(50)) == 0)
+    near = vector_graph.nearest(_read(spark, sf, "file_vector"), "file_id", "vec", k=5, beam=P5_WIDE_BEAM, only=lambda key: F.pmod(key, F.lit(50)) == 0)
     return near.select(F.col("key").alias("file_id"), "other", F.round("similarity", 4).alias("similarity"))
 
 
