@@ -179,3 +179,37 @@ def test_against_sql(spark, name):
     assert sorted(got.columns) == sorted(columns)
     clean = lambda rows: sorted(repr(tuple(round(float(x), 5) if isinstance(x, float) else x for x in r)) for r in rows)
     assert clean(got.select(*[f"`{c}`" for c in columns]).collect()) == clean(want.fetchall())
+
+
+def test_counted_terms(spark):
+    rows = spark.createDataFrame([(1, ["b", "a", "b"]), (2, []), (3, None), (4, ["é"])], "id int, w array<string>")
+    got = {r["file_id"]: [tuple(t) for t in r["terms"]] for r in T.counted_terms(rows, "id", F.col("w")).collect()}
+    assert got == {1: [("a", 1), ("b", 2)], 2: [], 3: [], 4: [("é", 1)]}
+    plan = T.term_freq(rows, "id", F.col("w"))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_model_load(tmp_path):
+    import json
+    import struct
+
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocab = {"a": 0, "bb": 1, "ccc": 2, "[UNK]": 3}
+    tokenizer = Tokenizer(models.WordLevel(vocab, unk_token="[UNK]"))
+    tokenizer.pre_tokenizer = pre_tokenizers.Whitespace()
+    tokenizer.save(str(tmp_path / "tokenizer.json"))
+    (tmp_path / "config.json").write_text("{}")
+    table = np.array([[3, 0], [0, 4], [1, 1], [9, 9]], "<f2")
+
+    def save(dtype, shape, end):
+        head = json.dumps({"t": {"dtype": dtype, "shape": shape, "data_offsets": [0, end]}}).encode()
+        (tmp_path / "model.safetensors").write_bytes(struct.pack("<Q", len(head)) + head + table.tobytes())
+
+    save("F16", [4, 2], 16)
+    m = vectors.TokenTable.load(str(tmp_path))
+    assert np.allclose(m.embed("a bb zzz"), [0.6, 0.8]) and not m.embed("").any() and m.truncate == 512 * 3
+    for bad in (("F32", [4, 2], 16), ("F16", [8], 16), ("F16", [4, 2], 14)):
+        save(*bad)
+        with pytest.raises(ValueError):
+            vectors.TokenTable.load(str(tmp_path))

@@ -16,9 +16,31 @@ def tokens(docs: DataFrame, file_id: str, terms: Column) -> DataFrame:
     return docs.select(F.col(file_id).alias("file_id"), F.explode(terms).alias("term"))
 
 
+def counted_terms(docs: DataFrame, file_id: str, terms: Column) -> DataFrame:
+    """``file_id, terms``: array of (term, tf) by term, empty without terms. ``docs`` has one row per file.
+
+    A file's occurrences lie in one row, so they are sorted and counted there, without a
+    shuffle: the runs of equal words start where a word differs from the one before. The steps are projections of
+    their own, as a lambda would evaluate what it refers to for each element.
+    """
+    words = docs.select(F.col(file_id).alias("file_id"), F.sort_array(F.coalesce(terms, F.array().cast("array<string>"))).alias("_w"))
+    n = F.size("_w")
+    starts = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (i == 0) | (F.get("_w", i) != F.get("_w", i - 1)))
+    placed = words.select("file_id", "_w", F.when(n > 0, starts).otherwise(F.array().cast("array<int>")).alias("_at"))
+    run = lambda i, k: F.struct(F.get("_w", i).alias("term"), (F.coalesce(F.get("_at", k + 1), n) - i).cast("bigint").alias("tf"))
+    return placed.select("file_id", F.transform("_at", run).alias("terms"))
+
+
 def term_freq(docs: DataFrame, file_id: str, terms: Column) -> DataFrame:
-    """``file_id, term, tf``. Occurrences are combined before the shuffle."""
-    return tokens(docs, file_id, terms).groupBy("file_id", "term").agg(F.count("*").alias("tf"))
+    """``file_id, term, tf`` of a frame with one row per file. No shuffle."""
+    # The outer form: for the inner one the optimizer would infer a filter on the array's size and
+    # evaluate the whole chain inside its lambdas.
+    return counted_terms(docs, file_id, terms).select("file_id", F.inline_outer("terms")).filter("term is not null")
+
+
+def merged_term_freq(occurrences: DataFrame) -> DataFrame:
+    """``file_id, term, tf`` from ``file_id, term`` rows in any order, combined before the shuffle."""
+    return occurrences.groupBy("file_id", "term").agg(F.count("*").alias("tf"))
 
 
 def doc_length(docs: DataFrame, file_id: str, terms: Column) -> DataFrame:
@@ -37,7 +59,10 @@ def postings(tf: DataFrame) -> DataFrame:
 
 
 def forward(tf: DataFrame, docs: DataFrame, file_id: str) -> DataFrame:
-    """``file_id, terms``: array of (term, tf) by term; empty for files without terms."""
+    """``file_id, terms``: array of (term, tf) by term from flat postings; empty for files of ``docs`` without terms.
+
+    Where the texts themselves are at hand ``counted_terms`` gives the same without a shuffle.
+    """
     blocks = tf.groupBy("file_id").agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("terms"))
     ids = docs.select(F.col(file_id).alias("file_id"))
     empty = F.array().cast("array<struct<term:string,tf:bigint>>")

@@ -57,8 +57,14 @@ def postings_block(spark, sf):
 
 
 def forward(spark, sf):
+    return T.counted_terms(_docs(spark, sf), "file_id", F.col("words")).select("file_id", _listed(F.col("terms"), "term").alias("terms"))
+
+
+def forward_merged(spark, sf):
+    """The forward view from flat postings, as an index build that only has those makes it."""
     docs = _docs(spark, sf)
-    return T.forward(T.term_freq(docs, "file_id", F.col("words")), docs, "file_id").select("file_id", _listed(F.col("terms"), "term").alias("terms"))
+    tf = T.merged_term_freq(T.tokens(docs, "file_id", F.col("words")))
+    return T.forward(tf, docs, "file_id").select("file_id", _listed(F.col("terms"), "term").alias("terms"))
 
 
 def forward_block(spark, sf):
@@ -189,7 +195,7 @@ class _LengthTokenizer:
 QUERIES = {
     f.__name__.removesuffix("_query"): f
     for f in (
-        term_stats, tokens, term_freq, doc_length, postings, postings_delta, postings_block, forward, forward_block, forward_offsets, term_dictionary,
+        term_stats, tokens, term_freq, doc_length, postings, postings_delta, postings_block, forward, forward_merged, forward_block, forward_offsets, term_dictionary,
         doc_table, docs_entry, dense_ids, fnv1a64, fnv1a64_paths, varint, json_keys, event_keys, ext_filter, exclude_filter, binary_filter, lossy_decode,
         char_truncate, upper_median, run_stats, code_identifiers_query, embed_mean, embed_normalize, embedding_f16, embed_pool,
     )
@@ -247,3 +253,4 @@ ORACLE_SQL = {
     "embed_mean": "select label, pos, round(avg(x), 6) as mean from (select label, unnest(embedding)::double as x, (unnest(range(0, len(embedding))))::int as pos from embeddings) group by all",
     "embed_normalize": "select file_id, round(n, 6) as norm, round(vec[1]::double / n, 6) as first from (select distinct file_id, vec, sqrt(list_sum(list_transform(vec, lambda x: x::double * x::double))) + 1e-32 as n from file_vector where vec is not null)",
 }
+ORACLE_SQL["forward_merged"] = ORACLE_SQL["forward"]

@@ -10,10 +10,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..operators.terms import term_freq
 
 
 def stream_postings(docs: DataFrame, doc_id: str = "doc_id", body: str = "text") -> DataFrame:
     """``file_id, term, tf`` of each arriving document, without state: a document's terms are counted inside its row."""
-    words = text.words(F.col(body))
-    terms = F.transform(F.array_distinct(words), lambda w: F.struct(w.alias("term"), F.size(F.filter(words, lambda x: x == w)).cast("bigint").alias("tf")))
-    return docs.select(F.col(doc_id).alias("file_id"), F.inline(terms))
+    return term_freq(docs, doc_id, text.words(F.col(body)))
