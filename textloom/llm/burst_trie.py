@@ -118,11 +118,22 @@ def term_counts(spill: DataFrame, capacity: int = 4096) -> DataFrame:
 
 
 def _hand_on(trie: BurstTrie, router: BurstTrie, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
-    held = list(trie.items())
-    for i in range(0, len(held), rows):
-        some = held[i : i + rows]
-        columns = [[router.prefix(t) for t, _ in some], [t for t, _ in some], [c[0] for _, c in some], [c[1] for _, c in some]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["route", "term", "occurrences", "files"])
+    """All counters, in batches of about ``rows``. The terms of a container share its route, as its prefix is no route's inner node."""
+    columns: list[list] = [[], [], [], []]
+    for at in sorted(trie.containers):
+        box = trie.containers[at]
+        columns[0] += [router.prefix(at)] * len(box)
+        columns[1] += box
+        columns[2] += [c[0] for c in box.values()]
+        columns[3] += [c[1] for c in box.values()]
+        if len(columns[0]) >= rows:
+            yield _counters(columns)
+            columns = [[], [], [], []]
+    yield _counters(columns)
+
+
+def _counters(columns: list[list]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()))], ["route", "term", "occurrences", "files"])
 
 
 def _whole(trie: BurstTrie, rows: int = 20_000) -> Iterator[pa.RecordBatch]:
