@@ -7,7 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from textloom.llm import mixing, packing, sentences, tokens
+from textloom.llm import mixing, packing, queries, sentences, tokens
 
 PATH = f"{tokens.FOLDER}/{tokens.VOCABULARY}"
 
@@ -120,6 +120,18 @@ def test_mix_of_the_size_of_the_corpus(spark):
     assert {k: r["available"] for k, r in s.items()} == tokens_of | {"none": 0}
 
 
+def test_mix_queries_reach_every_share(spark, tmp_path):
+    docs = [(i, "one two three four", "large") for i in range(2000)] + [(5000 + i, "one two three four", "small") for i in range(10)]
+    spark.createDataFrame(docs, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    targets = [("large", 0.8, 2), ("small", 0.1, 3), ("none", 0.1, 4)]
+    spark.createDataFrame(targets, "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/mix_target.parquet")
+    s = {r["source"]: r for r in queries.p9_shares(spark, str(tmp_path)).collect()}
+    # The small source at its repeats is the ninth part of the selection; the large one has 8 times its 30 texts.
+    assert s["small"]["most_repeats"] == 3 and abs(s["small"]["actual_share"] - 1 / 9) < 0.005 and abs(s["large"]["actual_share"] - 8 / 9) < 0.005
+    selection = queries.p9_selection(spark, str(tmp_path)).groupBy("source").sum("repeats")
+    assert dict(selection.collect()) == {"large": 240, "small": 30}
+
+
 def test_mix_saturates(spark):
     docs, d, targets = mix_inputs(spark)
     big = sum(t for _, t, _, s in docs if s and s.strip().lower() == "big")

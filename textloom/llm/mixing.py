@@ -23,13 +23,13 @@ def source_name(source: Column) -> Column:
     return F.nullif(F.regexp_replace(F.lower(F.trim(source)), r"[\s\-_]+", "_"), F.lit(""))
 
 
-def budgets(available: DataFrame, targets: DataFrame, total: int | None = None) -> list[dict]:
+def budgets(available: DataFrame, targets: DataFrame, total: int | None = None, reach: bool = False) -> list[dict]:
     """A dict per target source with its budget in tokens.
 
     ``available``: ``source, tokens``; ``targets``: ``source, target_share, max_repeats``. Both have a row per source, few by nature.
     Shares of sources without texts go to the others in proportion. ``total`` is the size of the selection, by default
-    that of all texts of the target sources. A source that cannot reach its share stays at
-    its repeats, and what it lacks is shared out among the rest by their targets.
+    that of all texts of the target sources or, with ``reach``, the largest at which every source reaches its share. A
+    source that cannot reach its share stays at its repeats, and what it lacks is shared out among the rest by their targets.
     """
     have = {r["source"]: r["tokens"] for r in available.join(targets.select(source_name(F.col("source")).alias("source")), "source", "left_semi").collect()}
     rows = []
@@ -39,7 +39,10 @@ def budgets(available: DataFrame, targets: DataFrame, total: int | None = None)
     for r in rows:
         r["cap"] = r["available"] * max(0, r["max_repeats"])
     live = [r for r in rows if r["cap"] > 0 and r["target_share"] > 0]
-    if total is None:
+    if total is None and reach:
+        whole = sum(r["target_share"] for r in live)
+        total = min((r["cap"] * whole / r["target_share"] for r in live), default=0)
+    elif total is None:
         total = sum(r["available"] for r in live)
     left, open_rows = float(total), list(live)
     for r in rows:
@@ -61,11 +64,12 @@ def budgets(available: DataFrame, targets: DataFrame, total: int | None = None)
     return rows
 
 
-def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 17) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int = 17, reach: bool = False) -> tuple[DataFrame, DataFrame]:
     """``(selection, shares)``.
 
     ``docs``: ``doc_id, tokens, quality, source``. ``selection``: ``doc_id, source, tokens, repeats``, repeats of at
-    least 1 and at most the source's ``max_repeats``. ``shares``: a row per target source with its budget and actual share. Documents of sources without target, of
+    least 1 and at most the source's ``max_repeats``. ``shares``: a row per target source with its budget and actual share.
+    ``total`` and ``reach`` are those of ``budgets``. Documents of sources without target, of
     null source, and without tokens are not selected. Weights are the quality, at least 0.01.
     """
     spark = docs.sparkSession
@@ -74,13 +78,13 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int
     u = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     keyed = held.withColumn("key", -F.log(u) / F.col("weight")).withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * RANGES).cast("int"))
     keyed = materialize(keyed.select("doc_id", "source", "tokens", "key", "range"), "keyed")
-    rows = budgets(keyed.groupBy("source").agg(F.sum("tokens").alias("tokens")), targets, total)
+    rows = budgets(keyed.groupBy("source").agg(F.sum("tokens").alias("tokens")), targets, total, reach)
     plan = spark.createDataFrame([(r["source"], r["target_share"], r["max_repeats"], r["available"], r["budget"], r["epochs"], r["rest"]) for r in rows], "source string, target_share double, max_repeats int, available bigint, budget double, epochs int, rest double")
     sums = keyed.groupBy("source", "range").agg(F.sum("tokens").alias("sum"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = sums.withColumn("before", F.coalesce(F.sum("sum").over(before), F.lit(0))).join(F.broadcast(plan.select("source", "rest")), "source")
     # Of a source's ranges one at most holds the end of the rest; those before are taken whole.
-    ends = ranges.filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("sum") > F.col("rest"))).select("source", F.col("range").alias("last"), "before")
+    ends = ranges.filter((F.col("before") < F.col("rest")) & (F.col("before") + F.col("sum") >= F.col("rest"))).select("source", F.col("range").alias("last"), "before")
     marks = plan.join(ends, "source", "left").select("source", "epochs", "rest", "last", "before")
     rated = keyed.join(F.broadcast(marks), "source")
     inner = Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0)

@@ -115,7 +115,7 @@ def p8_filled(spark, sf):
 
 def _mixed(spark, sf):
     sizes = tokens.token_sizes(_read(spark, sf, "documents"), keep=("source",))
-    return mixing.mix(sizes, _read(spark, sf, "mix_target"))
+    return mixing.mix(sizes, _read(spark, sf, "mix_target"), reach=True)
 
 
 def p9_selection(spark, sf):
