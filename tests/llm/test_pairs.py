@@ -1,11 +1,12 @@
 """Problems 5 and 6: nearest vectors and similar sets, against brute force."""
 
 import random
+from functools import partial
 
 import numpy as np
 from pyspark.sql import functions as F
 
-from textloom.llm import set_join, vector_graph
+from textloom.llm import queries, set_join, vector_graph
 
 
 def test_graph_recall():
@@ -61,6 +62,36 @@ def test_nearest(spark):
     assert vector_graph.nearest(df.filter("id = 5"), "id", "vec", dim=8).collect() == []
 
 
+def test_pairs_across_many_shards(spark, tmp_path, monkeypatch):
+    # Pairs just above 0.9 of noise in 64 dimensions, in about 20 shards.
+    rng = np.random.default_rng(6)
+    x, noise = rng.normal(size=(2, 2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    noise -= (noise * x).sum(axis=1, keepdims=True) * x
+    noise /= np.linalg.norm(noise, axis=1, keepdims=True)
+    y = 0.902 * x + np.sqrt(1 - 0.902**2) * noise
+    rows = [(int(i), v.tolist()) for i, v in enumerate(np.concatenate([x, y]))]
+    spark.createDataFrame(rows, "file_id bigint, vec array<float>").repartition(4).write.parquet(f"{tmp_path}/file_vector.parquet")
+    monkeypatch.setattr(vector_graph, "nearest", partial(vector_graph.nearest, shard=200))
+    got = {(r["file_id_a"], r["file_id_b"]) for r in queries.p5_found(spark, str(tmp_path)).collect()}
+    assert got == {(i, i + 2000) for i in range(2000)}
+
+
+def test_skipped_shards_hold_nothing_near():
+    # Clusters, so that shards are skipped at all.
+    rng = np.random.default_rng(7)
+    c = rng.normal(size=(12, 8))
+    x = np.repeat(c, 150, axis=0) + rng.normal(size=(1800, 8)) * 0.3
+    c, x = (z / np.linalg.norm(z, axis=1, keepdims=True) for z in (c, x))
+    own = (x @ c.T).argmax(axis=1)
+    batch = vector_graph.pa.RecordBatch.from_arrays([vector_graph.pa.array(range(1800)), vector_graph.pa.array(list(x))], ["rep", "v"])
+    routed = next(vector_graph._route(c, 12, 0.9)([batch]))
+    asked = set(zip(routed["rep"].to_pylist(), routed["centroid"].to_pylist()))
+    assert 1800 < len(asked) < 0.8 * 12 * 1800
+    a, b = np.nonzero(x @ x.T >= 0.9)
+    assert all(p in asked for p in zip(a.tolist(), own[b].tolist()))
+
+
 def sets(spark, seed=3):
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(3000)]

@@ -57,14 +57,14 @@ def p4_rates(spark, sf):
     return syntax.invalid_rates(p4_files(spark, sf), _read(spark, sf, "docs_bin"))
 
 
-#: p5_found: shards that each file's vector searches, and the width of its beam, enough for pairs of 0.9 or more; p5_nearest also has to find the
+#: p5_found: the similarity of its pairs, and a width of the beam that is enough for them; p5_nearest also has to find the
 #: neighbours among near-random vectors, which takes a wider one.
-P5_PROBES, P5_BEAM, P5_WIDE_BEAM = 4, 48, 160
+P5_LEAST, P5_BEAM, P5_WIDE_BEAM = 0.9, 48, 160
 
 
 def p5_found(spark, sf):
-    near = vector_graph.nearest(_read(spark, sf, "file_vector"), "file_id", "vec", k=5, beam=P5_BEAM, probes=P5_PROBES)
-    close = near.filter("similarity >= 0.9")
+    near = vector_graph.nearest(_read(spark, sf, "file_vector"), "file_id", "vec", k=5, beam=P5_BEAM, least=P5_LEAST)
+    close = near.filter(F.col("similarity") >= P5_LEAST)
     return close.select(F.least("key", "other").alias("file_id_a"), F.greatest("key", "other").alias("file_id_b")).distinct()
 
 
