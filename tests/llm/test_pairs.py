@@ -136,6 +136,27 @@ def test_large_nodes_are_compared_in_blocks(spark):
     assert 0.99 * pairs <= set_join.similar_classes(classes, 0.7, levels=2).count() <= pairs
 
 
+def test_members_of_large_classes_are_spread(spark):
+    rows = [(i, 0) for i in range(2000)] + [(5000 + i, 5000) for i in range(700)] + [(9000, 9000), (9001, 9000)]
+    members = spark.createDataFrame(rows, "key bigint, rep bigint").repartition(4)
+    pairs = spark.createDataFrame([(0, 5000, 0.8), (0, 9000, 0.7), (5000, 9000, 0.75)], "a bigint, b bigint, similarity double")
+    plain = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "16"}  # joins by shuffle, as those of large tables
+    before = {k: spark.conf.get(k) for k in plain}
+    for k, v in plain.items():
+        spark.conf.set(k, v)
+    try:
+        out = set_join.member_pairs(pairs, members)
+        total = 2702 * 2701 // 2
+        tasks = [r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect()]
+        assert sum(tasks) == out.select("key_a", "key_b").distinct().count() == total and out.filter("key_a >= key_b").isEmpty()
+        assert max(tasks) < 0.5 * total, tasks
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    by = {r["similarity"]: r["count"] for r in out.groupBy("similarity").count().collect()}
+    assert by == {0.8: 2000 * 700, 0.7: 2000 * 2, 0.75: 700 * 2, 1.0: total - 2000 * 702 - 700 * 2}
+
+
 def test_sets_of_nothing(spark):
     df = spark.createDataFrame([(1, None), (2, ["a"])], "id bigint, items array<string>")
     classes, members = set_join.set_classes(df, "id", F.col("items"), 5)

@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 HASHES, BRANCHES = 64, 2
+#: Members of a class that are joined under one key; larger classes are salted.
+MEMBERS = 256
 _MASK = (1 << 61) - 1
 
 
@@ -195,12 +197,26 @@ def member_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """``key_a, key_b, similarity``: all pairs of different records, from pairs of classes and membership.
 
     The result itself has a row per pair. Members of one class are similar at 1. Both
-    joins are on the class; a class of many copies is spread by salting its members.
+    joins are on the class and a salt: a class of many copies has its members in parts of about
+    ``MEMBERS``, and its pairs of classes are repeated for each part.
     """
-    own = members.groupBy("rep").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("similarity"))
-    left = members.select(F.col("rep").alias("a"), F.col("key").alias("key_a"))
-    right = members.select(F.col("rep").alias("b"), F.col("key").alias("key_b"))
-    out = pairs.union(own).join(left, "a").join(right, "b")
+    members = materialize(members, "members")
+    sizes = members.groupBy("rep").agg(F.count("*").alias("n"))
+    own = sizes.filter("n > 1").select(F.col("rep").alias("a"), F.col("rep").alias("b"), F.lit(1.0).alias("similarity"))
+    # At most one row per MEMBERS records; all other classes have one part.
+    large = materialize(sizes.filter(F.col("n") > MEMBERS).select("rep", F.ceil(F.col("n") / MEMBERS).cast("int").alias("parts")), "large")
+    parts = F.coalesce("parts", F.lit(1))
+    salted = members.join(large, "rep", "left").select("rep", "key", F.pmod(F.xxhash64("key"), parts).cast("int").alias("part"))
+    left = salted.select(F.col("rep").alias("a"), F.col("part").alias("part_a"), F.col("key").alias("key_a"))
+    right = salted.select(F.col("rep").alias("b"), F.col("part").alias("part_b"), F.col("key").alias("key_b"))
+    out = pairs.select("a", "b", "similarity").union(own)
+    for end in ("a", "b"):
+        out = out.join(large.withColumnRenamed("rep", end), end, "left").withColumn(f"part_{end}", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
     inside = F.col("a") == F.col("b")
-    out = out.filter(~inside | (F.col("key_a") < F.col("key_b")))
+    # Two parts of one class meet once, a part with itself in one order.
+    out = out.filter(~inside | (F.col("part_a") <= F.col("part_b"))).join(left, ["a", "part_a"])
+    # The last join's input is small next to its output; with a given number of partitions adaptive execution does not merge the parts again.
+    tasks = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = out.repartition(tasks, "b", "part_b").join(right, ["b", "part_b"])
+    out = out.filter(~inside | (F.col("part_a") < F.col("part_b")) | (F.col("key_a") < F.col("key_b")))
     return out.select(F.least("key_a", "key_b").alias("key_a"), F.greatest("key_a", "key_b").alias("key_b"), "similarity")
