@@ -69,11 +69,12 @@ def test_check_files(spark):
 
 
 WRITTEN = "import os\n\n# the code generated by the planner ends up in this table\ndef read_folder(path, limit):\n    entries = sorted(os.listdir(path))\n    for entry in entries[:limit]:\n        print(entry)\n    return entries\n"
-MANGLED = "(()=>{" + "".join(f"var {a}={b}.xx,{b}1=[2,9];if({a}){{{b}.q={a}}}else{{{b}()}}" for a in ("ab", "qx", "zk", "jw") for b in ("vv", "hq", "yx", "t")) + "})();"
+MANGLED = "(()=>{" + "".join(f"var {a}={b}.xx,{b}1=[2,9];if({a}){{{b}.q={a}}}else{{{b}()}}" for a in ("ab", "qx", "zk", "jw", "pv", "wq") for b in ("vv", "hq", "yx", "t", "jz", "kx")) + "})();"
 
 
 def kinds_of(path, language, body):
-    return handwritten.judge(path, language, body if isinstance(body, bytes) else body.encode())[0]
+    found = handwritten.file_features(path, language, body if isinstance(body, bytes) else body.encode())["evidence"]
+    return list(dict.fromkeys(e.split(":")[0] for e in found))
 
 
 @pytest.mark.parametrize(
@@ -103,13 +104,44 @@ def test_kinds(path, language, body, want):
 
 def test_kinds_of_table(spark):
     rows = [(i, f"a/b{i}.js", (WRITTEN * 3).replace("entries", f"names_{i}").encode()) for i in range(30)]
-    rows += [(100, "z/m.js", MANGLED.encode()), (100, "z/m.js", MANGLED.encode()), (101, "vendor/q/c.js", b"var a = 1; // " + b"x" * 300), (102, "own/c.js", b"var a = 1; // " + b"x" * 300), (103, "d.js", None), (104, "e.md", b"x"), (105, None, b"x")]
+    rows += [(100, "z/m.js", MANGLED.encode()), (100, "z/m.js", MANGLED.encode()), (101, "vendor/q/c.js", b"var a = 1; // " + b"x" * 300), (102, "own/c.js", b"var a = 1; // " + b"x" * 300), (103, "d.js", None), (104, "e.md", b"x"), (105, None, b"x"), (106, "f.js", b"")]
     df = spark.createDataFrame([(*r, "k", b"d") for r in rows], "file_id bigint, rel_path string, content binary, kinds string, digest binary")
-    got = {r["file_id"]: r["kinds"] for r in handwritten.kinds(df, handwritten.name_model(df)).collect()}
-    assert got == {i: [] for i in range(30)} | {100: ["minified"], 101: ["vendored"], 102: ["vendored"]}
-    assert handwritten.kinds(df.limit(0), handwritten.name_model(df.limit(0))).collect() == []
-
-
-def test_trigrams():
-    grams, starts = handwritten.trigrams([b"ab", b"c", b"abc"])
-    assert len(grams) == 6 and list(starts) == [0, 2, 3] and grams[0] == grams[3]
+    docs = spark.createDataFrame([(100, "p", 5, 1), (100, "old", None, 0), (101, None, None, None), (None, "p", 1, 1)], "file_id bigint, project string, doc_length bigint, indexed_at int")
+    for d in (None, docs):
+        got = {r["file_id"]: r["evidence"] for r in handwritten.kinds(df, d).collect()}
+        assert got == {i: [] for i in range(30)} | {100: ["minified:entropy"], 101: ["vendored:path"], 102: ["vendored:copy"], 106: []}
+    left = {r["file_id"]: r["kinds"] for r in handwritten.stated_out(handwritten.kinds(df)).collect() if r["kinds"]}
+    assert left == {100: ["minified"]}
+    assert handwritten.kinds(df.limit(0)).collect() == []
+
+
+WORDS = "read write open close table index count value entry field queue stack"
+
+
+def styled(rng, camel):
+    names = [[rng.choice(WORDS.split()) for _ in range(3)] for _ in range(50)]
+    joined = [n[0] + "".join(w.title() for w in n[1:]) if camel else "_".join(n) for n in names]
+    return "".join(f"{a} = {b}(1)\n" for a, b in zip(joined, joined[1:])).encode()
+
+
+def test_style_foreign_to_the_project(spark):
+    # The same style is at home in one project and foreign in the other.
+    rng = random.Random(3)
+    rows = [(i, f"a{i}.py", styled(rng, i == 5)) for i in range(20)] + [(100 + i, f"a{i}.py", styled(rng, True)) for i in range(20)]
+    df = spark.createDataFrame(rows, "file_id bigint, rel_path string, content binary")
+    docs = spark.createDataFrame([(r[0], "p" if r[0] < 100 else "q", 60, 1) for r in rows], "file_id bigint, project string, doc_length bigint, indexed_at int")
+    got = {r["file_id"]: r["evidence"] for r in handwritten.kinds(df, docs).filter("size(evidence) > 0").collect()}
+    assert got == {5: ["vendored:style"]}
+
+
+def test_name_model():
+    names = [w.encode() for w in WORDS.split()]
+    blob = b"\n".join(names)
+    batch = handwritten.pa.RecordBatch.from_arrays([handwritten.pa.array(["python"] * 40), handwritten.pa.array([blob] * 40)], ["language", "names"])
+    out = next(handwritten._count_grams([batch]))
+    model = handwritten.NameModel(handwritten.np.zeros((10, handwritten.CELLS)))
+    model.counts.ravel()[out["cell"].to_numpy()] = out["n"].to_numpy()
+    # Every character and end mark is counted in each order.
+    assert model.counts.sum() == 7 * 40 * sum(len(n) + 1 for n in names)
+    known, mangled = model.bits("python", names), model.bits("python", [b"zq", b"x", b"kj"])
+    assert known.max() < 1.5 and mangled.min() > 5 and len(mangled) == 3

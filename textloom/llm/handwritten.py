@@ -1,17 +1,18 @@
 """Generated, minified, vendored and data-only source files.
 
-Two passes over the files. The first counts the character trigrams of all
-identifiers per language, hashed into a table of fixed size. The second scores
-each file against that model and its own name statistics:
-
-* minified: names dear to the model (cross-entropy per character, over the mean of the language) and short, in text with hardly any blanks;
-* generated: a tool's notice in the leading comments, a tool's file name or output folder, lock files,
-  or names of low diversity, the same few templates with running numbers;
-* vendored: a notice of origin, a folder for third-party code, the same body as a file so marked,
-  or names almost all in a style that the language's other files hardly use;
+One pass over the contents takes each file's different names, its literal shares, and what
+it states about itself. From the names a character 4-gram model per language is counted, with
+conditional probabilities that back off to shorter contexts. Then each file is scored:
+
+* minified: mangled names, whose cross-entropy per character under the language's model is far above the language's own;
+* generated: names of low diversity, few templates with running numbers; or a tool's notice in the leading
+  comments, a tool's file name or output folder, a lock file;
+* vendored: names joined in a style foreign to the file's project and language; or a notice of origin, a folder for
+  third-party code, the same body as a file so marked;
 * data: nothing but number lists or long encoded literals.
 
-A file may have several kinds. Null content, and md and txt files, have none.
+``evidence`` says which of these spoke, so a caller can leave statements (``notice``, ``path``,
+``lock``, ``copy``) out. A file may have several kinds. Null content, and md and txt files, have none.
 """
 
 from __future__ import annotations
@@ -26,11 +27,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..session import materialize
 
 _LANGUAGES = tuple(text.LANGUAGE_OF.values())
-#: Trigram buckets per language; the model has 10 x BUCKETS counts at any input size.
-BUCKETS = 1 << 14
-_WIDTH = BUCKETS + 2  # and the two style counts
+#: Bits of the hashed tables of grams of 2, 3 and 4 characters and of contexts of 2 and 3. The model has 10 x CELLS counts at any input size.
+_BITS = {"g2": 13, "g3": 15, "g4": 16, "c2": 13, "c3": 15}
+_START = {"g1": 0, "c1": 256}
+for _k, _b in _BITS.items():
+    _START[_k] = _START.get("_end", 512)
+    _START["_end"] = _START[_k] + (1 << _b)
+CELLS = _START.pop("_end")
+#: What a longer context must outweigh: the pseudo-count given to the next shorter one.
+BACKOFF = 4.0
 
 _NAMES = re.compile(rb"[A-Za-z_$\x80-\xff][\w$\x80-\xff]*")
 _STRINGS = re.compile(rb"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`")
@@ -60,13 +68,18 @@ TOOL_NAME = re.compile(
 #: Folders that only hold tools' output, and folders of third-party code. Fixed values.
 OUTPUT_FOLDER = re.compile(r"(?:^|/)(?:build/generated|src/generated|generated-sources|generated_src|gen/src|__generated__)/", re.IGNORECASE)
 VENDOR_FOLDER = re.compile(r"(?:^|/)(?:vendor|vendored|node_modules|bower_components|third[_-]?party|3rd[_-]?party|external|externals|godeps|deps|site-packages)/", re.IGNORECASE)
+#: Names that minifiers give. Fixed values.
 _MINIFIED_NAME = re.compile(r"(?:\.min|[._-]min|\.bundle|\.packed)\.\w+$")
 _DIGEST = re.compile(r"\"(?:sha\d+[-:])?[0-9a-f]{32,}\"|\"sha\d{3}-[\w+/=]{40,}\"")
 _ENTRY = re.compile(r"\"v?\d+(?:\.\d+)+[\w.+-]*\"")
 _RUNNING = re.compile(rb"\d+")
 
-#: Decision bounds over the scores; all are parameters of ``kinds``.
-BOUNDS = {"bits": 1.05, "short": 0.45, "blank": 0.10, "running": 0.35, "numbers": 0.45, "encoded": 0.45, "foreign": 0.98, "uncommon": 0.10}
+#: Decision bounds over the scores; all are parameters of ``kinds``. ``bits``: times the usual cross-entropy of the language. ``diversity``: templates
+#: per name. ``names``: fewer tell nothing. ``numbers``, ``encoded``: shares of the file. ``style``: share of the foreign style,
+#: ``style_bits``: what it takes to say that it is not its project's.
+BOUNDS = {"bits": 2.5, "diversity": 0.6, "names": 20, "numbers": 0.45, "encoded": 0.45, "style": 0.9, "style_bits": 40.0}
+#: Evidence that is a statement, not a statistic.
+STATED = ("notice", "path", "lock", "copy")
 
 
 def names_of(content: bytes) -> list[bytes]:
@@ -74,19 +87,24 @@ def names_of(content: bytes) -> list[bytes]:
     return _NAMES.findall(_STRINGS.sub(b" ", content))
 
 
-def trigrams(names: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed trigrams of all names, each with a start and an end mark, and where each name starts."""
-    buffer = np.frombuffer(b"\x02" + b"\x03\x02".join(names) + b"\x03", np.uint8).astype(np.uint32)
-    starts = np.flatnonzero(buffer == 2)
-    ends = np.flatnonzero(buffer == 3)
-    h = (buffer[:-2] * 0x9E3779B1 + buffer[1:-1] * 0x85EBCA77 + buffer[2:] * 0xC2B2AE3D) >> 18
-    inside = np.ones(len(h), bool)
-    inside[ends[ends < len(h)]] = False
-    before = ends - 1
-    inside[before[(before >= 0) & (before < len(h))]] = False
-    grams = h[inside]
-    lengths = ends - starts - 1  # a name of n bytes has n trigrams
-    return grams.astype(np.int64) % BUCKETS, np.concatenate([[0], np.cumsum(lengths)[:-1]])
+def _grams(names: list[bytes]) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """For each character of each name and its end mark the cells of its grams and contexts, and where each name starts."""
+    c = np.frombuffer(b"\x02\x02\x02" + b"\x03\x02\x02\x02".join(names) + b"\x03", np.uint8).astype(np.uint32)
+    at = np.flatnonzero(c != 2)
+    c0, c1, c2, c3 = (c[at - i] for i in range(4))
+    k2, k3 = c1 << 8 | c2, c1 << 16 | c2 << 8 | c3
+    cell = lambda v, name: (v * np.uint32(0x9E3779B1) >> np.uint32(32 - _BITS[name])).astype(np.int64) + _START[name]
+    mixed = k3 * np.uint32(0x85EBCA77) ^ k3 >> np.uint32(15)
+    cells = {
+        "g1": c0.astype(np.int64),
+        "c1": c1.astype(np.int64) + _START["c1"],
+        "g2": cell(c0 << 8 | c1, "g2"),
+        "c2": cell(k2, "c2"),
+        "g3": cell((c0 << 16 | k2) * np.uint32(0x85EBCA77), "g3"),
+        "c3": cell(mixed, "c3"),
+        "g4": cell(mixed + c0 * np.uint32(0xC2B2AE3D), "g4"),
+    }
+    return cells, np.concatenate([[0], np.flatnonzero(c0 == 3)[:-1] + 1])
 
 
 def styles(names: list[bytes]) -> tuple[int, int]:
@@ -97,106 +115,90 @@ def styles(names: list[bytes]) -> tuple[int, int]:
 
 @dataclass
 class NameModel:
-    """``bits``: per language and trigram bucket, over the language's mean; ``snake``: the languages' share of underscored among all joined names."""
+    """``counts``: languages x ``CELLS``."""
 
-    bits: np.ndarray
-    snake: np.ndarray
+    counts: np.ndarray
 
+    def bits(self, language: str, names: list[bytes]) -> np.ndarray:
+        """Bits per character of each name, its end included."""
+        t = self.counts[_LANGUAGES.index(language)]
+        g, starts = _grams(names)
+        p = (t[g["g1"]] + 0.5) / (t[:256].sum() + 128)
+        for gram, context in (("g2", "c1"), ("g3", "c2"), ("g4", "c3")):
+            p = (t[g[gram]] + BACKOFF * p) / (t[g[context]] + BACKOFF)
+        b = -np.log2(np.minimum(p, 1))
+        return np.add.reduceat(b, starts) / np.diff(np.append(starts, len(b)))
 
-def name_model(files: DataFrame, path: str = "rel_path", content: str = "content") -> NameModel:
-    """Trigram and style counts from the identifiers of all files.
-
-    Each task adds up one table and hands on its non-zero cells; the shuffle
-    combines them, and the driver gets at most 10 x (BUCKETS + 2) rows.
-    """
-    held = _held(files, None, path, content)
-    cells = held.select("language", "content").mapInArrow(_count_trigrams, "cell bigint, n bigint")
-    summed = cells.groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
-    return model_of(summed["cell"].to_numpy(np.int64), summed["n"].to_numpy(np.float64))
 
+def name_model(found: DataFrame) -> NameModel:
+    """The model of the names in ``features``: each name of at least 3 characters once per file.
 
-def model_of(cells: np.ndarray, n: np.ndarray) -> NameModel:
-    counts = np.zeros(len(_LANGUAGES) * _WIDTH)
-    np.add.at(counts, cells, n)
-    counts = counts.reshape(len(_LANGUAGES), _WIDTH)
-    grams, (snake, camel) = counts[:, :BUCKETS] + 0.01, counts[:, BUCKETS:].T
-    share = grams / grams.sum(axis=1, keepdims=True)
-    bits = -np.log2(share)
-    return NameModel((bits / (share * bits).sum(axis=1, keepdims=True)).astype(np.float32), (snake + 1) / (snake + camel + 2))
+    Shorter names say nothing about a language's words, and so mangled ones do not teach the model. Each
+    task adds up one table and hands on its non-zero cells; the shuffle
+    combines them, and the driver gets at most 10 x CELLS rows.
+    """
+    summed = found.select("language", "names").mapInArrow(_count_grams, "cell bigint, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    counts = np.zeros((len(_LANGUAGES), CELLS), np.float32)
+    counts.ravel()[summed["cell"].to_numpy(np.int64)] = summed["n"].to_numpy(np.float32)
+    return NameModel(counts)
 
 
-def _held(files: DataFrame, file_id: str | None, path: str, content: str) -> DataFrame:
-    columns = [F.col(path).alias("path"), text.language(text.extension(F.col(path))).alias("language"), F.col(content).cast("binary").alias("content")]
-    if file_id:
-        columns.insert(0, F.col(file_id).cast("bigint").alias("file_id"))
-    return files.select(*columns).filter("language is not null and content is not null")
+def _by_language(b: pa.RecordBatch) -> Iterator[tuple[str, list[list[bytes]], list[int]]]:
+    by: dict[str, list[int]] = {}
+    languages, blobs = b.column(0).to_pylist(), b.column(1).to_pylist()
+    for i, language in enumerate(languages):
+        by.setdefault(language, []).append(i)
+    for language, rows in by.items():
+        yield language, [blobs[i].split(b"\n") if blobs[i] else [] for i in rows], rows
 
 
-def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(len(_LANGUAGES) * _WIDTH, np.int64)
+def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros((len(_LANGUAGES), CELLS), np.int64)
     for b in batches:
-        by: dict[str, list[bytes]] = {}
-        for language, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-            by.setdefault(language, []).extend(names_of(content))
-        for language, names in by.items():
+        for language, files, _ in _by_language(b):
+            names = [n for f in files for n in f if len(n) > 2]
             if names:
-                at = _LANGUAGES.index(language) * _WIDTH
-                total[at : at + BUCKETS] += np.bincount(trigrams(names)[0], minlength=BUCKETS)
-                total[at + BUCKETS : at + _WIDTH] += styles(names)
-    cells = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(total[cells])], ["cell", "n"])
+                cells = np.concatenate(list(_grams(names)[0].values()))
+                total[_LANGUAGES.index(language)] += np.bincount(cells, minlength=CELLS)
+    flat = total.ravel()
+    cells = np.flatnonzero(flat)
+    yield pa.RecordBatch.from_arrays([pa.array(cells), pa.array(flat[cells])], ["cell", "n"])
 
 
-def file_scores(content: bytes, bits: np.ndarray | None = None, snake: float = 0.5) -> dict[str, float]:
-    """The statistics of one file; all shares are 0 for an empty one. ``bits``, ``snake``: the language's row of the model."""
-    out = dict.fromkeys(("bits", "short", "blank", "running", "numbers", "encoded", "foreign"), 0.0)
+def file_features(path: str, language: str, content: bytes, bounds: dict = BOUNDS) -> dict:
+    """What one file shows without the model: its different names, its shares, and the evidence in them."""
     size = len(content)
-    if not size:
-        return out
+    code = language not in ("json", "toml", "xml")
     strings = _STRINGS.findall(content)
     bare = _STRINGS.sub(b" ", content)
-    names = _NAMES.findall(bare)
+    names = sorted(set(_NAMES.findall(bare)))
+    found: list[str] = []
+    diversity = len({_RUNNING.sub(b"0", n) for n in names}) / len(names) if names else 1.0
+    if code and len(names) >= bounds["names"] and diversity < bounds["diversity"]:
+        found.append("generated:diversity")
     blanks = sum(map(bare.count, (b" ", b"\n", b"\t", b"\r")))
-    out["blank"] = blanks / max(1, len(bare))
     digits = sum(map(bare.count, (b"0", b"1", b"2", b"3", b"4", b"5", b"6", b"7", b"8", b"9", b",", b".", b"-")))
-    out["numbers"] = digits / max(1, len(bare) - blanks) * (len(bare) / size)
-    out["encoded"] = sum(len(s) for s in strings if len(s) > 60 and b" " not in s and b"\\" not in s) / size
-    if names:
-        out["short"] = sum(len(n) <= 2 for n in names) / len(names)
-        grams, starts = trigrams(names)
-        if bits is not None:
-            out["bits"] = float(np.median(np.add.reduceat(bits[grams], starts) / np.diff(np.append(starts, len(grams)))))
-        joined = styles(names)
-        if sum(joined) >= 40:
-            rare = 0 if snake < 0.5 else 1
-            out["foreign"] = joined[rare] / sum(joined)
-        numbered = [n for n in names if n[-1:].isdigit()]
-        if len(numbered) >= 20:
-            kinds = len({_RUNNING.sub(b"", n) for n in numbered})
-            out["running"] = len(numbered) / len(names) * (1 - kinds / len(numbered))
-    return out
-
-
-def judge(path: str, language: str, content: bytes, bits: np.ndarray | None = None, snake: float = 0.5, bounds: dict = BOUNDS) -> tuple[list[str], dict]:
-    """Kinds of one file, and its scores."""
-    kinds: list[str] = []
-    s = file_scores(content, bits, snake)
+    numbers = digits / max(1, len(bare) - blanks) * (len(bare) / max(1, size))
+    encoded = sum(len(s) for s in strings if len(s) > 60 and b" " not in s and b"\\" not in s) / max(1, size)
+    if code and (numbers > bounds["numbers"] or encoded > bounds["encoded"]):
+        found.append("data:literals")
     body = content.decode("utf-8", "replace")
-    lead = _LEAD.match(body).group()
-    if language == "json":
-        lead = _json_note(body)
-    lock = language in ("json", "toml") and len(_DIGEST.findall(body)) >= 3 and len(_ENTRY.findall(body)) >= 3
-    if GENERATED_NOTICE.search(_statements(lead)) or lock or OUTPUT_FOLDER.search(path) or TOOL_NAME.search(path) and not _MINIFIED_NAME.search(path) or s["running"] > bounds["running"]:
-        kinds.append("generated")
-    code = language not in ("json", "toml", "xml")
-    if code and (_MINIFIED_NAME.search(path) or s["short"] > bounds["short"] and s["bits"] > bounds["bits"] and s["blank"] < bounds["blank"]):
-        kinds.append("minified")
-    foreign = code and min(snake, 1 - snake) < bounds["uncommon"] and s["foreign"] > bounds["foreign"]
-    if VENDORED_NOTICE.search(lead) or VENDOR_FOLDER.search(path) or foreign:
-        kinds.append("vendored")
-    if code and (s["numbers"] > bounds["numbers"] or s["encoded"] > bounds["encoded"]):
-        kinds.append("data")
-    return kinds, s
+    lead = _json_note(body) if language == "json" else _LEAD.match(body).group()
+    if GENERATED_NOTICE.search(_statements(lead)):
+        found.append("generated:notice")
+    if language in ("json", "toml") and len(_DIGEST.findall(body)) >= 3 and len(_ENTRY.findall(body)) >= 3:
+        found.append("generated:lock")
+    minified = code and _MINIFIED_NAME.search(path)
+    if OUTPUT_FOLDER.search(path) or TOOL_NAME.search(path) and not _MINIFIED_NAME.search(path):
+        found.append("generated:path")
+    if minified:
+        found.append("minified:path")
+    if VENDORED_NOTICE.search(lead):
+        found.append("vendored:notice")
+    if VENDOR_FOLDER.search(path):
+        found.append("vendored:path")
+    snake, camel = styles(names)
+    return {"size": size, "names": names, "diversity": diversity, "snake": snake, "camel": camel, "numbers": numbers, "encoded": encoded, "evidence": found}
 
 
 def _statements(lead: str) -> str:
@@ -212,13 +214,16 @@ def _json_note(body: str) -> str:
     return m.group(1).strip('"') if m else ""
 
 
-def kinds(files: DataFrame, model: NameModel, file_id: str = "file_id", path: str = "rel_path", content: str = "content", bounds: dict = BOUNDS) -> DataFrame:
-    """``file_id, kinds, language, bits, running, blank``, one row per file with a syntax and content; ``kinds`` may be empty.
+_FEATURES = {
+    "file_id": "bigint", "language": "string", "size": "bigint", "names": "binary", "n_names": "int", "diversity": "double", "snake": "int", "camel": "int",
+    "numbers": "double", "encoded": "double", "evidence": "array<string>", "digest": "binary",
+}
 
-    Copies of a marked third-party file count as vendored wherever they lie:
-    bodies are compared by a 128-bit digest, first combined per digest.
-    """
-    shared = files.sparkSession.sparkContext.broadcast(model)
+
+def features(files: DataFrame, file_id: str = "file_id", path: str = "rel_path", content: str = "content", bounds: dict = BOUNDS) -> DataFrame:
+    """A row per row of ``files`` with a syntax and content, written to the shared folder: the only pass over the contents."""
+    ext = text.language(text.extension(F.col(path)))
+    held = files.select(F.col(file_id).cast("bigint").alias("file_id"), F.col(path).alias("path"), ext.alias("language"), F.col(content).cast("binary").alias("content"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from hashlib import blake2b
@@ -226,21 +231,98 @@ def kinds(files: DataFrame, model: NameModel, file_id: str = "file_id", path: st
         for b in batches:
             rows = []
             for fid, p, language, body in zip(*(c.to_pylist() for c in b.columns)):
-                found, s = judge(p, language, body, shared.value.bits[at := _LANGUAGES.index(language)], shared.value.snake[at], bounds)
+                f = file_features(p, language, body, bounds)
                 digest = blake2b(body, digest_size=16).digest() if len(body) > 200 else None
-                rows.append((fid, language, found, s["bits"], s["running"], s["blank"], s["short"], s["numbers"], s["encoded"], digest))
-            columns = list(zip(*rows)) or [[]] * 10
-            types = [pa.int64(), pa.string(), pa.list_(pa.string()), *[pa.float64()] * 6, pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["file_id", "language", "kinds", "bits", "running", "blank", "short", "numbers", "encoded", "digest"])
+                rows.append((fid, language, f["size"], b"\n".join(f["names"]), len(f["names"]), *(f[k] for k in ("diversity", "snake", "camel", "numbers", "encoded", "evidence")), digest))
+            columns = list(zip(*rows)) or [[]] * len(_FEATURES)
+            types = [pa.int64(), pa.string(), pa.int64(), pa.binary(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.string()), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], list(_FEATURES))
+
+    some = held.filter("language is not null and content is not null")
+    return materialize(some.mapInArrow(run, ", ".join(f"{k} {t}" for k, t in _FEATURES.items())), "features")
 
-    scored = _held(files, file_id, path, content).mapInArrow(run, "file_id bigint, language string, kinds array<string>, bits double, running double, blank double, short double, numbers double, encoded double, digest binary")
-    one = scored.groupBy("file_id").agg(F.max_by(F.struct("language", "kinds", "bits", "running", "blank", "short", "numbers", "encoded", "digest"), F.size("kinds")).alias("f")).select("file_id", "f.*")
-    from ..session import materialize
 
+def _scored(found: DataFrame, model: NameModel) -> DataFrame:
+    """``bits``: the median over a file's names of their bits per character. The names themselves stay behind."""
+    shared = found.sparkSession.sparkContext.broadcast(model)
+    kept = [k for k in _FEATURES if k not in ("language", "names")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            bits: list[float | None] = [None] * b.num_rows
+            for language, files, rows in _by_language(b):
+                names = [n for f in files for n in f]
+                if not names:
+                    continue
+                each, at = shared.value.bits(language, names), 0
+                for i, f in zip(rows, files):
+                    if f:
+                        bits[i] = float(np.median(each[at : at + len(f)]))
+                        at += len(f)
+            yield pa.RecordBatch.from_arrays([b.column(0), *b.columns[2:], pa.array(bits, pa.float64())], ["language", *kept, "bits"])
+
+    return found.select("language", "names", *kept).mapInArrow(run, ", ".join(["language string", *[f"{k} {_FEATURES[k]}" for k in kept], "bits double"]))
+
+
+def kinds(files: DataFrame, docs: DataFrame | None = None, file_id: str = "file_id", path: str = "rel_path", content: str = "content", bounds: dict = BOUNDS) -> DataFrame:
+    """``file_id, language, kinds, evidence`` and the scores, one row per file with a syntax and content; ``kinds`` may be empty.
+
+    ``docs``: ``file_id, project, doc_length, indexed_at``; without it all files are one project. A file's style is
+    weighed against the other files of its project and language, each counting with its terms' number (``doc_length``) at most, since
+    an outlying file with few indexed terms is no measure of a project. Copies of a marked third-party file count as
+    vendored wherever they lie: bodies are compared by a 128-bit digest, first combined per digest.
+    """
+    found = features(files, file_id, path, content, bounds)
+    small = [k for k in _FEATURES if k not in ("file_id", "names")] + ["bits"]
+    rows = _scored(found, name_model(found))
+    one = rows.groupBy("file_id").agg(F.max_by(F.struct(*small), F.struct(F.size("evidence"), "size", "digest")).alias("f")).select("file_id", "f.*")
+    if docs is None:
+        one = one.withColumn("project", F.lit("")).withColumn("weight", F.col("n_names").cast("bigint"))
+    else:
+        valid = docs.filter("file_id is not null").groupBy("file_id").agg(F.max_by(F.struct("project", "doc_length"), F.struct("indexed_at", "doc_length")).alias("d"))
+        one = one.join(valid, "file_id", "left").withColumn("project", F.coalesce("d.project", F.lit(""))).withColumn("weight", F.coalesce("d.doc_length", F.col("n_names").cast("bigint"))).drop("d")
     one = materialize(one, "kinds")
-    bodies = one.filter("digest is not null")
-    origin = bodies.filter("array_contains(kinds, 'vendored')").select("digest").distinct().withColumn("copied", F.lit(True))
+    # The quarter of a language's files with the lowest cross-entropy stands for it, so mangled files do not shift it before they are three quarters. Ten rows.
+    usual = one.groupBy("language").agg(F.percentile_approx("bits", 0.25, 10_000).alias("usual"))
+    ratio = one.join(F.broadcast(usual), "language", "left").withColumn("ratio", F.col("bits") / F.greatest("usual", F.lit(0.1))).drop("usual")
+    styled = _styled(ratio, bounds)
+    code = ~F.col("language").isin("json", "toml", "xml")
+    said = lambda when, what: F.when(when, F.array(F.lit(what))).otherwise(F.array().cast("array<string>"))
+    mangled = code & (F.col("n_names") >= bounds["names"]) & (F.col("ratio") > bounds["bits"])
+    foreign = code & (F.col("diversity") >= bounds["diversity"]) & F.coalesce("foreign", F.lit(False))
+    told = styled.withColumn("evidence", F.concat("evidence", said(mangled, "minified:entropy"), said(foreign, "vendored:style")))
+    marks = one.filter("digest is not null and exists(evidence, e -> e like 'vendored:%')").select("digest").distinct().withColumn("copied", F.lit(True))
     # Rows without a digest stay out of the join, where they would all meet in one task.
-    marked = bodies.join(origin, "digest", "left").drop("digest").unionByName(one.filter("digest is null").drop("digest").withColumn("copied", F.lit(None).cast("boolean")))
-    added = F.when(F.col("copied") & ~F.array_contains("kinds", "vendored"), F.concat("kinds", F.array(F.lit("vendored")))).otherwise(F.col("kinds"))
-    return marked.select("file_id", "language", added.alias("kinds"), "bits", "running", "blank", "short", "numbers", "encoded")
+    marked = told.filter("digest is not null").join(marks, "digest", "left").unionByName(told.filter("digest is null").withColumn("copied", F.lit(None).cast("boolean")))
+    copied = F.coalesce("copied", F.lit(False)) & ~F.exists("evidence", lambda e: e.startswith("vendored:"))
+    done = marked.withColumn("evidence", F.concat("evidence", said(copied, "vendored:copy")))
+    return done.select("file_id", "language", F.array_distinct(F.transform("evidence", lambda e: F.substring_index(e, ":", 1))).alias("kinds"), "evidence", "bits", "ratio", "diversity", "numbers", "encoded", "style_bits")
+
+
+def _styled(one: DataFrame, bounds: dict) -> DataFrame:
+    """Adds ``foreign`` and ``style_bits``: by how many bits a file's joined names speak against the style of its project's other files.
+
+    The profiles have one row per project and language, combined before the shuffle; they come back by a join
+    of small rows. Projects with under 200 other joined names are weighed against their language.
+    """
+    joined = F.col("snake") + F.col("camel")
+    scale = F.least(F.lit(1.0), F.col("weight") / F.greatest(joined, F.lit(1)))
+    weighed = one.withColumn("_s", F.col("snake") * scale).withColumn("_c", F.col("camel") * scale)
+    sums = [F.sum("_s").alias("ps"), F.sum("_c").alias("pc")]
+    by_project = weighed.groupBy("project", "language").agg(*sums)
+    by_language = weighed.groupBy("language").agg(F.sum("_s").alias("ls"), F.sum("_c").alias("lc"))
+    held = weighed.join(by_project, ["project", "language"]).join(F.broadcast(by_language), "language")
+    others = (F.col("ps") + F.col("pc") - F.col("_s") - F.col("_c")) >= 200
+    snake, camel = (F.when(others, F.col(p)).otherwise(F.col(g)) - F.col(own) for p, g, own in (("ps", "ls", "_s"), ("pc", "lc", "_c")))
+    expected = (snake + 1) / (snake + camel + 2)
+    share = F.col("snake") / F.greatest(joined, F.lit(1))
+    part = lambda p, q: F.when(p > 0, p * F.log2(p / q)).otherwise(0.0)
+    bits = joined * (part(share, expected) + part(1 - share, 1 - expected))
+    rare = F.when(expected < 0.5, share).otherwise(1 - share)
+    return held.withColumn("style_bits", bits).withColumn("foreign", (joined >= bounds["names"]) & (rare >= bounds["style"]) & (bits >= bounds["style_bits"])).drop("_s", "_c", "ps", "pc", "ls", "lc", "project", "weight")
+
+
+def stated_out(found: DataFrame) -> DataFrame:
+    """``kinds`` by the statistics of names and literals alone."""
+    kept = F.filter("evidence", lambda e: ~F.substring_index(e, ":", -1).isin(*STATED))
+    return found.withColumn("evidence", kept).withColumn("kinds", F.array_distinct(F.transform("evidence", lambda e: F.substring_index(e, ":", 1))))

@@ -92,8 +92,12 @@ def p6_classes(spark, sf):
 
 
 def p7_files(spark, sf):
-    files = _read(spark, sf, "source_file")
-    return handwritten.kinds(files, handwritten.name_model(files))
+    return handwritten.kinds(_read(spark, sf, "source_file"), _read(spark, sf, "docs_bin"))
+
+
+def p7_statistics(spark, sf):
+    """The files that the statistics of names and literals find, without notices, paths, lock patterns and copies."""
+    return handwritten.stated_out(p7_files(spark, sf)).filter("size(kinds) > 0").select("file_id", "kinds")
 
 
 def p7_found(spark, sf):
@@ -131,7 +135,7 @@ def p10_found(spark, sf):
     return sentences.sentence_units(_read(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_summary, p2_found, p2_scores, p3_found, p3_counts, p4_found, p4_files, p4_rates, p5_found, p5_nearest, p6_found, p6_classes, p7_found, p7_files, p8_containers, p8_filled, p9_selection, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_summary, p2_found, p2_scores, p3_found, p3_counts, p4_found, p4_files, p4_rates, p5_found, p5_nearest, p6_found, p6_classes, p7_found, p7_files, p7_statistics, p8_containers, p8_filled, p9_selection, p9_shares, p10_found)}
 
 _PAIRS = "(select term, file_id, max(coalesce(freq, 1)) as freq from spill_file where term <> '' and file_id is not null group by all)"
 _LENGTHS = f"(select file_id, coalesce(arg_max(doc_length, indexed_at), max(summed), 0) as length from (select file_id, doc_length, indexed_at, null as summed from (select * from docs_bin qualify row_number() over (partition by file_id order by indexed_at desc, doc_length desc nulls last) = 1) union all select file_id, null, null, sum(freq) from {_PAIRS} group by file_id) group by file_id)"
