@@ -12,6 +12,7 @@ from textloom import queries
 from textloom.functions import codec, lexers, text, vectors
 from textloom.operators import terms as T
 from textloom.plans import build, project
+from textloom.sources import tree
 
 DATA = "/root/testdata/sf0.001"
 
@@ -63,8 +64,11 @@ def test_extension_and_filters(spark):
 
 
 def test_binary_and_lossy(spark):
-    rows = spark.createDataFrame([(bytearray(b"a\xffb"),), (bytearray(b"a\0"),), (bytearray(b""),)], "content binary")
-    assert [tuple(r) for r in rows.select(text.is_binary(F.col("content")), text.lossy_text(F.col("content"))).collect()] == [(False, "a�b"), (True, "a\0"), (False, "")]
+    rows = spark.createDataFrame([(bytearray(b"a\xffb"),), (bytearray(b"a\0"),), (bytearray(b""),), (bytearray(b"\xff\xfea\0"),), (bytearray(b"%PDF-1"),), (bytearray(b"a" * 1024 + b"\0"),), (bytearray(b"\xef\xbb\xbfa\0"),)], "content binary")
+    got = [tuple(r) for r in rows.select(text.is_binary(F.col("content")), text.lossy_text(F.col("content")), "content").collect()]
+    assert [g[:2] for g in got[:3]] == [(False, "a�b"), (True, "a\0"), (False, "")]
+    assert [g[0] for g in got[3:]] == [False, True, False, False]
+    assert [text.looks_binary(bytes(g[2])) for g in got] == [g[0] for g in got]
 
 
 @pytest.mark.parametrize(
@@ -142,15 +146,89 @@ def test_tree_build(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "blocks/forward")).count() == 7
 
 
-def test_project_collision(tmp_path):
+def test_project_collision(spark, tmp_path):
     (tmp_path / "r").mkdir()
-    p = project.Project.resolve(str(tmp_path / "r"), str(tmp_path / "s"))
-    project.Project.resolve(str(tmp_path / "r"), str(tmp_path / "s"))
-    (Path(p.index_dir) / project.SIDECAR).write_text("/other")
+    p = project.Project.resolve(str(tmp_path / "r"), str(tmp_path / "s"), spark)
+    project.Project.resolve(str(tmp_path / "r"), str(tmp_path / "s"), spark)
+    p.store.write(f"{p.index_dir}/{project.SIDECAR}", "/other")
     with pytest.raises(ValueError):
-        project.Project.resolve(str(tmp_path / "r"), str(tmp_path / "s"))
+        project.Project.resolve(str(tmp_path / "r"), str(tmp_path / "s"), spark)
     with pytest.raises(FileNotFoundError):
-        project.Project.resolve(str(tmp_path / "none"), str(tmp_path / "s"))
+        project.Project.resolve(str(tmp_path / "none"), str(tmp_path / "s"), spark)
+
+
+def test_publish_leaves_runs_under_way(spark, tmp_path):
+    p = project.Project.resolve(str(tmp_path), str(tmp_path / "s"), spark)
+    first, running, second = (p.new_generation() for _ in range(3))
+    for g in (first, running, second):
+        p.store.write(f"{g}/part", "x")
+    assert p.current() is None
+    p.publish(first)
+    assert p.current() == first
+    p.publish(second)
+    assert p.current() == second and p.store.exists(running) and not p.store.exists(first)
+
+
+def test_failed_build_leaves_the_published_generation(spark, tmp_path, monkeypatch):
+    root = tmp_path / "tree"
+    root.mkdir()
+    (root / "a.py").write_text("x = 1")
+    s = build.build_index(spark, str(root), str(tmp_path / "store"))
+    monkeypatch.setattr(build.T, "term_stats", lambda tf: 1 / 0)
+    with pytest.raises(ZeroDivisionError):
+        build.build_index(spark, str(root), str(tmp_path / "store"))
+    assert len(list(Path(s.project.index_dir).glob("gen=*"))) == 1 and spark.read.parquet(f"{s.project.current()}/docs").count() == 1
+
+
+@pytest.mark.parametrize("fan_out", [1, 3, 1000])
+def test_tree_is_listed_by_tasks(spark, tmp_path, fan_out):
+    want = set()
+    for i in range(5):
+        for j in range(4):
+            at = tmp_path / f"d{i}" / f"e{j}"
+            at.mkdir(parents=True)
+            (at / "f.py").write_text("x")
+            want.add(f"d{i}/e{j}/f.py")
+    (tmp_path / "g.md").write_text("x")
+    got = [r["path"] for r in tree.read_tree(spark, str(tmp_path), fan_out=fan_out).collect()]
+    assert sorted(got) == sorted(want | {"g.md"})
+
+
+def test_ignore_files(tmp_path):
+    for path in ("a.py", "gen/a.py", "x/gen/b.py", "x/keep.py", "x/drop.py", "x/y/z.md", "x/y/drop.py", "only.txt", "x/only.txt"):
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text("x")
+    (tmp_path / ".gitignore").write_text("# c\n/gen/\n*.md\n!x/y/z.md\n/only.txt\n")
+    (tmp_path / "x/.ignore").write_text("drop.py\n")
+    assert {p for p, _ in tree.walk(str(tmp_path), (), ignore_files=True)} == {"a.py", "x/gen/b.py", "x/keep.py", "x/y/z.md", "x/only.txt"}
+    assert len(list(tree.walk(str(tmp_path), ()))) == 9
+
+
+def test_postings_across_id_ranges(spark):
+    rng = random.Random(5)
+    rows = [(i, t, rng.randint(1, 300)) for t in ("hot", "b", "c") for i in sorted(rng.sample(range(3000), 700 if t == "hot" else 5))] + [(0, "z", 1)]
+    tf = spark.createDataFrame(rows, "file_id bigint, term string, tf bigint").repartition(5)
+    by = {}
+    for i, t, n in rows:
+        by.setdefault(t, []).append((i, n))
+    want = {(t, i, i - (p[k - 1][0] if k else 0)) for t, p in by.items() for k, (i, _) in enumerate(p)}
+    for size in (1, 64, 1 << 20):
+        assert {(r["term"], r["file_id"], r["delta"]) for r in T.postings_delta(tf, size).collect()} == want
+    blocks = {r["term"]: r["h"] for r in T.postings(tf).select("term", codec.postings_block_hex(F.col("postings")).alias("h")).collect()}
+    assert {r["term"]: r["bytes"] * 2 for r in T.block_bytes(T.postings_delta(tf, 64)).collect()} == {t: len(h) for t, h in blocks.items()}
+    parts = {}
+    for r in sorted(T.block_segments(tf, 64).collect(), key=lambda r: r["segment"]):
+        parts[r["term"]] = parts.get(r["term"], "") + r["block"]
+    assert parts == blocks
+
+
+def test_written_tables_can_be_released(spark):
+    from textloom import session
+
+    session.release(spark)
+    df = session.materialize(spark.range(5))
+    assert df.count() == 5 and session.release(spark) == 1 and session.release(spark) == 0
+    assert not any(Path(f.removeprefix("file:")).exists() for f in df.inputFiles())
 
 
 def test_streamed_postings_match_batch(spark, tmp_path):

@@ -21,6 +21,12 @@ def varint_hex(v: Column) -> Column:
     return F.array_join(F.transform(used, byte), "")
 
 
+def varint_size(v: Column) -> Column:
+    """Bytes of the unsigned LEB128 of a non-negative bigint."""
+    v = v.cast("bigint")
+    return F.lit(1) + sum(((v >= (1 << 7 * i)).cast("int") for i in range(1, 9)), F.lit(0))
+
+
 def _shift(v: Column, groups: Column) -> Column:
     """``v`` without its lowest groups of seven bits."""
     return F.when(groups > 8, F.lit(0).cast("bigint")).otherwise(F.call_function("shiftright", v, (groups * 7).cast("int")))

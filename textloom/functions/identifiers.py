@@ -11,15 +11,15 @@ from pyspark.sql import functions as F
 from . import lexers, text
 
 
-def code_identifiers(files: DataFrame, file_id: str = "file_id", path: str = "rel_path", content: str = "content") -> DataFrame:
+def code_identifiers(files: DataFrame, file_id: str = "file_id", path: str = "rel_path", content: str = "content", key: str = "bigint") -> DataFrame:
     """``file_id, term, tf`` for the files of the nine grammar languages.
 
     Null content and other extensions give no rows. Bytes that are not UTF-8
-    become U+FFFD, which ends a name.
+    become U+FFFD, which ends a name. ``key``: the type of the ids.
     """
-    chosen = files.select(F.col(file_id).cast("bigint").alias("file_id"), text.language(text.extension(F.col(path))).alias("language"), F.col(content).alias("content"))
+    chosen = files.select(F.col(file_id).cast(key).alias("file_id"), text.language(text.extension(F.col(path))).alias("language"), F.col(content).alias("content"))
     chosen = chosen.filter("language is not null and language <> 'json' and content is not null")
-    return chosen.mapInArrow(_extract, "file_id bigint, term string, tf bigint")
+    return chosen.mapInArrow(_extract, f"file_id {key}, term string, tf bigint")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -30,4 +30,4 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids += [fid] * len(found)
             names += found
             counts += found.values()
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(names, pa.string()), pa.array(counts, pa.int64())], ["file_id", "term", "tf"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.field(0).type), pa.array(names, pa.string()), pa.array(counts, pa.int64())], ["file_id", "term", "tf"])

@@ -80,6 +80,40 @@ KEYWORDS = {
 KEYWORDS["typescript"] = KEYWORDS["javascript"] + " abstract any as boolean declare enum implements interface is keyof module namespace never number object private protected public readonly string symbol type unknown"
 KEYWORDS = {k: frozenset(v.split()) for k, v in KEYWORDS.items()}
 
+#: Keywords that are names wherever the grammar has no use for them as keywords. Fixed values of the languages.
+_CONTEXTUAL = {
+    "javascript": "async from get let of set static",
+    "typescript": "async from get let of set static abstract as declare implements interface is keyof module namespace private protected public readonly type",
+    "kotlin": "abstract catch companion constructor data enum final finally import init inline inner internal it lateinit open operator out override private protected public sealed suspend vararg",
+}
+_CONTEXTUAL = {k: frozenset(v.split()) for k, v in _CONTEXTUAL.items()}
+#: Languages whose members may be named by any keyword, and the operators before a member.
+_MEMBERS = {"javascript": (".", "?."), "typescript": (".", "?."), "kotlin": (".", "?.", "::")}
+#: What follows a name but not a modifier.
+_AFTER_NAME = frozenset(". ?. , ) ] } = == === != !== : ? ?: ; += -= *= /= + - * / < > <= >= && || ?? !! [ ++ --".split())
+_OPENS_OBJECT = frozenset("= ( , : [ => ? ?? || && return default".split())
+
+
+def _is_name(language: str, tok: str, before: list[str], after: str, new_line: bool) -> bool:
+    """Whether a keyword is a name where it stands. ``before``: the two tokens before, the nearer one last."""
+    members = _MEMBERS.get(language)
+    if not members:
+        return False
+    last = before[1]
+    if last in members:
+        return not (language == "kotlin" and tok == "class" and last == "::")
+    contextual = tok in _CONTEXTUAL[language]
+    if language == "kotlin":
+        return tok == "it" or contextual and after in _AFTER_NAME and last not in ("as", "is")
+    # A key of an object, a field or a parameter.
+    if after in (":", "?:") and (last in ("(", ",") or last == "{" and (before[0] in _OPENS_OBJECT or tok != "default") or tok != "default" and (last in (";", "}") or new_line)):
+        return last != "case"
+    if contextual and after == "(":
+        return tok not in ("async", "as", "is") and last != "function"
+    # A method or shorthand named by a reserved word, and other uses as a name.
+    return contextual and (after in _AFTER_NAME or after in ("as", "in", "instanceof") and tok not in ("as", "is")) and last not in ("import", "export")
+
+
 _HOLES = {"python": re.compile(r"\{([^{}]*)\}"), "javascript": re.compile(r"\$\{([^{}]*)\}"), "typescript": re.compile(r"\$\{([^{}]*)\}"), "kotlin": re.compile(r"\$\{([^{}]*)\}|\$([^\W\d]\w*)")}
 _XML_SKIP = re.compile(r"<!--[\s\S]*?-->|<!\[CDATA\[[\s\S]*?\]\]>")
 _XML_TAG = re.compile(r"<[/?]?([^\W\d][\w:.\-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|&([^\W\d#][\w.\-]*);")
@@ -98,12 +132,22 @@ def identifiers(language: str, text: str) -> Counter:
         return Counter(_toml_keys(text))
     out: Counter = Counter()
     keywords, holes = KEYWORDS.get(language, frozenset()), _HOLES.get(language)
-    for kind, tok, _ in tokenize(language, text):
+    held = [(kind, tok) for kind, tok, _ in tokenize(language, text) if kind != COMMENT]
+    before, new_line = ["", ""], True
+    for at, (kind, tok) in enumerate(held):
+        if kind == NEWLINE:
+            new_line = True
+            continue
         if kind == NAME and tok not in keywords:
             out[tok] += 1
+        elif kind == NAME:
+            after = next((t for k, t in held[at + 1 : at + 9] if k != NEWLINE), "")
+            if _is_name(language, tok, before, after, new_line):
+                out[tok] += 1
         elif kind == STRING and holes and (language != "python" or "f" in tok[: min(tok.find('"') % 99, tok.find("'") % 99)].lower()) and (language == "kotlin" or language == "python" or tok[0] == "`"):
             for hole in holes.finditer(tok):
                 out += identifiers(language, next(filter(None, hole.groups()), ""))
+        before, new_line = [before[1], tok], False
     return out
 
 

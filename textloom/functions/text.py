@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -99,9 +102,22 @@ def _glob_pattern(glob: str) -> str:
     return ("^" if anchored else "(?:^|/)") + out + "(?:/|$)"
 
 
+#: Bytes looked at to tell binary content, byte order marks of text, and beginnings of binary formats. Fixed values.
+SNIFFED = 1024
+BYTE_ORDER_MARKS = (b"\xef\xbb\xbf", b"\xff\xfe\x00\x00", b"\x00\x00\xfe\xff", b"\xff\xfe", b"\xfe\xff")
+BINARY_MAGIC = (b"%PDF", b"\x89PNG")
+
+
 def is_binary(content: Column) -> Column:
-    """A NUL byte marks binary content."""
-    return F.expr("position(X'00' in {0}) > 0".format(_name(content)))
+    """Without a byte order mark: a NUL among the first bytes, or the beginning of a binary format."""
+    starts = lambda marks: reduce(or_, [F.startswith(content, F.lit(m)) for m in marks])
+    zero = F.expr(f"position(X'00' in substring({_name(content)}, 1, {SNIFFED})) > 0")
+    return ~starts(BYTE_ORDER_MARKS) & (zero | starts(BINARY_MAGIC))
+
+
+def looks_binary(content: bytes) -> bool:
+    """The twin of ``is_binary`` for single files."""
+    return not content.startswith(BYTE_ORDER_MARKS) and (b"\0" in content[:SNIFFED] or content.startswith(BINARY_MAGIC))
 
 
 def lossy_text(content: Column) -> Column:

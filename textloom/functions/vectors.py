@@ -25,7 +25,8 @@ def l2_norm(v: Column) -> Column:
 
 def normalized(v: Column) -> Column:
     """Unit length in double precision; a zero vector stays zero, null stays null."""
-    return F.transform(v, lambda x: x.cast("double") / l2_norm(v))
+    # The norm is bound once, as the one element of an array; inside the inner lambda it would be computed per component.
+    return F.get(F.transform(F.array(l2_norm(v)), lambda n: F.transform(v, lambda x: x.cast("double") / n)), F.lit(0))
 
 
 @F.pandas_udf(BinaryType())

@@ -69,10 +69,47 @@ def forward(tf: DataFrame, docs: DataFrame, file_id: str) -> DataFrame:
     return ids.join(blocks, "file_id", "left").withColumn("terms", F.coalesce("terms", empty))
 
 
-def postings_delta(tf: DataFrame) -> DataFrame:
-    """``term, file_id, delta, tf``: distance to the term's file before, the id itself for the first."""
-    before = F.lag("file_id").over(Window.partitionBy("term").orderBy("file_id"))
-    return tf.withColumn("delta", F.col("file_id") - F.coalesce(before, F.lit(0)))
+#: Ids in a range of files; a term has at most as many postings in one.
+ID_RANGE = 1 << 20
+
+
+def postings_delta(tf: DataFrame, id_range: int = ID_RANGE) -> DataFrame:
+    """``term, file_id, delta, tf``: distance to the term's file before, the id itself for the first.
+
+    A window holds one term's postings of one range of ids, so a hot term spreads over tasks. What a range's
+    first posting needs, the last id of the term's range before, comes into the range as a row of
+    its own; those are combined before the shuffle, one per term and range.
+    """
+    ranged = tf.select("term", "file_id", "tf", F.floor(F.col("file_id") / id_range).alias("_range"))
+    last = ranged.groupBy("term", "_range").agg(F.max("file_id").alias("file_id"))
+    before = F.lag("file_id").over(Window.partitionBy("term").orderBy("_range"))
+    carried = last.select("term", before.alias("file_id"), F.lit(None).cast("bigint").alias("tf"), "_range").filter("file_id is not null")
+    previous = F.lag("file_id").over(Window.partitionBy("term", "_range").orderBy("file_id"))
+    both = ranged.unionByName(carried).withColumn("delta", F.col("file_id") - F.coalesce(previous, F.lit(0)))
+    return both.filter("tf is not null").select("file_id", "term", "tf", "delta")
+
+
+def block_bytes(deltas: DataFrame) -> DataFrame:
+    """``term, bytes``: the length of each term's postings block, from sums alone; no list of a term's postings is built."""
+    from ..functions.codec import varint_size
+
+    sums = deltas.groupBy("term").agg(F.count("*").alias("n"), F.sum(varint_size(F.col("delta")) + varint_size(F.col("tf"))).alias("body"))
+    return sums.select("term", (F.col("body") + varint_size(F.col("n"))).cast("bigint").alias("bytes"))
+
+
+def block_segments(tf: DataFrame, id_range: int = ID_RANGE) -> DataFrame:
+    """``term, segment, block``: each term's postings block cut at ranges of ids; the segments in order are the block.
+
+    The first one starts with the count of all postings. No row holds more than a range's postings.
+    """
+    from ..functions import codec
+
+    body = F.concat(codec.varint_hex(F.col("delta")), codec.varint_hex(F.col("tf")))
+    parts = postings_delta(tf, id_range).groupBy("term", F.floor(F.col("file_id") / id_range).alias("segment"))
+    parts = parts.agg(F.count("*").alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("file_id", body.alias("b")))), lambda x: x["b"]), "").alias("block"))
+    heads = parts.groupBy("term").agg(F.sum("n").alias("total"), F.min("segment").alias("first"))
+    head = F.when(F.col("segment") == F.col("first"), codec.varint_hex(F.col("total"))).otherwise("")
+    return parts.join(heads, "term").select("term", "segment", F.concat(head, "block").alias("block"))
 
 
 def _ranged(df: DataFrame, order: list[str]) -> DataFrame:

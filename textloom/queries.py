@@ -56,6 +56,11 @@ def postings_block(spark, sf):
     return T.postings(_tf(spark, sf)).select("term", codec.postings_block_hex(F.col("postings")).alias("block"))
 
 
+def postings_segments(spark, sf):
+    """The blocks in pieces of bounded size, as an export writes them; the ranges are small here, so that terms have several."""
+    return T.block_segments(_tf(spark, sf), 100)
+
+
 def forward(spark, sf):
     return T.counted_terms(_docs(spark, sf), "file_id", F.col("words")).select("file_id", _listed(F.col("terms"), "term").alias("terms"))
 
@@ -79,7 +84,7 @@ def forward_offsets(spark, sf):
 
 
 def term_dictionary(spark, sf):
-    blocks = postings_block(spark, sf).select("term", (F.length("block") / 2).cast("bigint").alias("bytes"))
+    blocks = T.block_bytes(T.postings_delta(_tf(spark, sf)))
     return T.running_offset(blocks, ["term"], F.col("bytes")).select("term", "offset")
 
 
@@ -111,9 +116,10 @@ def varint(spark, sf):
 
 
 def json_keys(spark, sf):
-    files = _read(spark, sf, "source_file").filter(text.extension(F.col("rel_path")) == "json").dropDuplicates(["file_id"])
-    keys = files.select("file_id", F.explode(text.json_keys(text.lossy_text(F.col("content")))).alias("key"))
-    return keys.groupBy("file_id", "key").agg(F.count("*").alias("tf"))
+    files = _read(spark, sf, "source_file").filter(text.extension(F.col("rel_path")) == "json")
+    # Counted inside the file's row; repeated rows meet as small rows, the contents are not shuffled.
+    keys = T.term_freq(files, "file_id", text.json_keys(text.lossy_text(F.col("content"))))
+    return keys.groupBy("file_id", F.col("term").alias("key")).agg(F.max("tf").alias("tf"))
 
 
 def event_keys(spark, sf):
@@ -158,7 +164,27 @@ def run_stats(spark, sf):
 
 
 def code_identifiers_query(spark, sf):
-    return code_identifiers(_read(spark, sf, "source_file").dropDuplicates(["file_id"]))
+    return code_identifiers(_read(spark, sf, "source_file")).groupBy("file_id", "term").agg(F.max("tf").alias("tf"))
+
+
+#: One small file per language with terms set by hand from the languages' grammars. Language extension, source, terms.
+IDENTIFIER_CASES = [
+    ("rs", "use a::b;\nfn f<'x>(p: &'x T) -> Option<u32> { let s = r#\"q\"#; p.len(S { h, k: 1 }); /* a /* b */ c */ }", "T f h k len p p s a b Option S"),
+    ("go", "package m\nimport q \"r/s\"\nfunc (a *B) C(x int) error { y := `raw`; a.D.e(x, nil); return y }", "m q a B C x int error y a D e x y"),
+    ("java", "package a.b;\n@X class A<T> extends B { char c = '\"'; int f(D d) { return d.g.h(this.c); } }", "a b X A T B c f D d d g h c"),
+    ("kt", "package p\ndata class C(val open: Int, var b: T?) { fun get(i: Int) = list.map { it.data.open } }", "p C open Int b T get i Int list map it data open"),
+    ("py", "import os.path as p\nclass A(B):\n    def f(self, *x):\n        return f'{self.y} z' or p.join(match=x)  # no", "os path p A B f self x self y p join match x"),
+    ("js", "m.get(k); m.delete(k); p.then(f).catch(g);\nconst o = {default: 1, class: a, get x() { return this.#z }, of};\nlabel: for (const v of o) { continue label }", "m get k m delete k p then f catch g o default class a x #z of label v o label"),
+    ("ts", "action.type; x.string; o.number;\ninterface I { type: string; from?: number }\nfunction f(type: any, as = type): I { return type as I }", "action type x string o number I type from f type as type I type I"),
+    ("toml", "a.b = 1\n[\"q r\"]\n[[t]]\nx = [1, \"y\"]\nz = { k = 2 }", 'a b "q_r" t x z k'),
+    ("xml", "<a b=\"c\"><d/>&amp;</a><!-- <e> -->", "a b d amp a"),
+]
+
+
+def identifier_cases(spark, sf):
+    """The cases above through the same operator as whole tables."""
+    files = spark.createDataFrame([(i, f"c.{ext}", body.encode()) for i, (ext, body, _) in enumerate(IDENTIFIER_CASES)], "file_id bigint, rel_path string, content binary")
+    return code_identifiers(files)
 
 
 def embed_mean(spark, sf):
@@ -166,8 +192,10 @@ def embed_mean(spark, sf):
 
 
 def embed_normalize(spark, sf):
-    v = _read(spark, sf, "file_vector").filter("vec is not null").select("file_id", "vec").distinct()
-    return v.select("file_id", F.round(vectors.l2_norm(F.col("vec")), 6).alias("norm"), F.round(F.get(vectors.normalized(F.col("vec")), F.lit(0)), 6).alias("first"))
+    """Norm and all components of the unit vector of each file; repeats are exact."""
+    v = _read(spark, sf, "file_vector").filter("vec is not null").groupBy("file_id").agg(F.max("vec").alias("vec"))
+    unit = v.select("file_id", F.round(vectors.l2_norm(F.col("vec")), 6).alias("norm"), vectors.normalized(F.col("vec")).alias("unit"))
+    return unit.select("file_id", "norm", F.posexplode("unit").alias("pos", "x")).withColumn("x", F.round("x", 6))
 
 
 def embedding_f16(spark, sf):
@@ -195,9 +223,9 @@ class _LengthTokenizer:
 QUERIES = {
     f.__name__.removesuffix("_query"): f
     for f in (
-        term_stats, tokens, term_freq, doc_length, postings, postings_delta, postings_block, forward, forward_merged, forward_block, forward_offsets, term_dictionary,
+        term_stats, tokens, term_freq, doc_length, postings, postings_delta, postings_block, postings_segments, forward, forward_merged, forward_block, forward_offsets, term_dictionary,
         doc_table, docs_entry, dense_ids, fnv1a64, fnv1a64_paths, varint, json_keys, event_keys, ext_filter, exclude_filter, binary_filter, lossy_decode,
-        char_truncate, upper_median, run_stats, code_identifiers_query, embed_mean, embed_normalize, embedding_f16, embed_pool,
+        char_truncate, upper_median, run_stats, code_identifiers_query, identifier_cases, embed_mean, embed_normalize, embedding_f16, embed_pool,
     )
 }
 
@@ -224,6 +252,12 @@ _SQL_FORWARD_BLOCK = f"select file_id, {_v('coalesce(len(terms), 0)')} || coales
 _SQL_DOCS = "select file_id, project, rel_path, doc_length from (select *, row_number() over (partition by file_id order by indexed_at desc, doc_length desc nulls last) as rn from docs_bin) where rn = 1"
 _SQL_KEYS = r"list_filter(list_transform(list_filter(regexp_extract_all({t}, '\"(?:[^\"\\\n]|\\.)*\"\s*:?'), lambda s: suffix(s, ':')), lambda s: regexp_replace(regexp_replace(s, '^\"|\"\s*:$', '', 'g'), '\\.', '', 'g')), lambda s: s <> '')"
 
+#: A half float by its definition: nearest of the 10-bit fractions, ties to even, bytes low first.
+_SQL_F16_BITS = "(case when x < 0 then 32768 else 0 end + case when x = 0 then 0 else (greatest(floor(log2(abs(x::double))), -14) + 14) * 1024 + round_even(abs(x::double) * pow(2, 10 - greatest(floor(log2(abs(x::double))), -14)), 0) end)::bigint"
+_SQL_F16 = f"printf('%02X%02X', {_SQL_F16_BITS} & 255, {_SQL_F16_BITS} >> 8)"
+#: Bytes that are no UTF-8 become U+FFFD; a true question mark is kept apart from those that the engine's decoder writes.
+_SQL_LOSSY = "replace(replace(decode(unhex(coalesce(list_aggregate(list_transform(range(0, octet_length(content)), lambda i: case substr(hex(content), (2 * i + 1)::bigint, 2) when '3F' then 'EE8080' else substr(hex(content), (2 * i + 1)::bigint, 2) end), 'string_agg', ''), '')), 'replace'), '?', chr(65533)), chr(57344), '?')"
+
 ORACLE_SQL = {
     "tokens": _SQL_TOKENS,
     "term_freq": _SQL_TF,
@@ -246,11 +280,16 @@ ORACLE_SQL = {
     "event_keys": f"select event_id, unnest({_SQL_KEYS.format(t='props')}) as key from events",
     "ext_filter": f"select file_id, rel_path, {_SQL_EXT} as ext, {_SQL_LANGUAGE.format(e=_SQL_EXT)} as language from docs_bin where {_SQL_EXT} in {_SQL_INDEXED}",
     "exclude_filter": "select file_id, rel_path from docs_bin where not list_has_any(string_split(rel_path, '/'), ['out', 'build', 'system', 'config', 'target', 'node_modules', '.git', 'report']) and not regexp_matches(rel_path, '(^|/)gen[^/]*/')",
-    "binary_filter": "select file_id from source_file where content is not null and not list_contains(list_transform(range(0, octet_length(content)), lambda i: substr(hex(content), (2 * i + 1)::bigint, 2)), '00')",
+    "binary_filter": "select file_id from source_file where content is not null and (regexp_matches(hex(content), '^(EFBBBF|FFFE|FEFF|0000FEFF)') or not (list_contains(list_transform(range(0, least(1024, octet_length(content))), lambda i: substr(hex(content), (2 * i + 1)::bigint, 2)), '00') or regexp_matches(hex(content), '^(25504446|89504E47)')))",
     "char_truncate": "select doc_id, substr(text, 1, 100) as text from documents",
     "upper_median": f"select list_extract(list_sort(list(n)), (count(*) // 2 + 1)::bigint) as median from (select distinct term, length(term) as n from ({_SQL_TOKENS}))",
     "run_stats": f"select count(*) filter (e in {_SQL_INDEXED} and content is not null) as indexed, count(*) filter (e in {_SQL_INDEXED} and content is null) as skipped, count(*) filter (e not in {_SQL_INDEXED}) as ignored from (select *, {_SQL_EXT} as e from source_file)",
     "embed_mean": "select label, pos, round(avg(x), 6) as mean from (select label, unnest(embedding)::double as x, (unnest(range(0, len(embedding))))::int as pos from embeddings) group by all",
-    "embed_normalize": "select file_id, round(n, 6) as norm, round(vec[1]::double / n, 6) as first from (select distinct file_id, vec, sqrt(list_sum(list_transform(vec, lambda x: x::double * x::double))) + 1e-32 as n from file_vector where vec is not null)",
+    "embed_normalize": "select file_id, round(n, 6) as norm, pos, round(x / n, 6) as x from (select file_id, n, unnest(vec)::double as x, (unnest(range(0, len(vec))))::int as pos from (select distinct file_id, vec, sqrt(list_sum(list_transform(vec, lambda x: x::double * x::double))) + 1e-32 as n from file_vector where vec is not null))",
+    "postings_segments": f"select term, segment, case when segment = min(segment) over (partition by term) then {_v('sum(n) over (partition by term)')} else '' end || block as block from (select term, file_id // 100 as segment, count(*) as n, string_agg({_v('delta')} || {_v('tf')}, '' order by file_id) as block from ({_SQL_DELTA}) group by all)",
+    "identifier_cases": "select file_id, replace(term, 'q_r', 'q r') as term, count(*) as tf from (select i::bigint as file_id, unnest(string_split(t, ' ')) as term from (values " + ", ".join(f"({i}, '{t}')" for i, (_, _, t) in enumerate(IDENTIFIER_CASES)) + ") v(i, t)) group by all",
+    "embed_pool": "select doc_id, round(coalesce(x / greatest(sqrt(x * x + y * y), 1e-32), 0)::float::double, 4) as x, round(coalesce(y / greatest(sqrt(x * x + y * y), 1e-32), 0)::float::double, 4) as y from (select doc_id, list_sum(list_transform(ids, lambda i: case i when 0 then 3.0 when 2 then 1.0 else 0.0 end)) / len(ids) as x, list_sum(list_transform(ids, lambda i: case i when 1 then 4.0 when 2 then 1.0 else 0.0 end)) / len(ids) as y from (select doc_id, list_filter(list_transform(list_filter(string_split(text, ' '), lambda w: w <> ''), lambda w: length(w) % 5), lambda i: i < 3) as ids from documents))",
+    "embedding_f16": "select file_id, list_aggregate(list_transform(vec, lambda x: " + _SQL_F16 + "), 'string_agg', '') as f16 from file_vector where vec is not null",
+    "lossy_decode": f"select file_id, {_SQL_LOSSY} as text from source_file where content is not null and {_SQL_EXT} in ('txt', 'md')",
 }
 ORACLE_SQL["forward_merged"] = ORACLE_SQL["forward"]

@@ -44,9 +44,30 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame, name: str = "step") -> DataFrame:
     """Cut the lineage: write ``df`` as a table in the shared folder and read it.
 
-    Survives the loss of executors, and later readers prune columns.
+    Survives the loss of executors, and later readers prune columns. The table goes when the driver ends, or with ``release``.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_written: dict[str, list[str]] = {}
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes all tables that ``materialize`` wrote in this application; to be called when their results have been consumed. Returns how many."""
+    paths = _written.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        fs, at = _file_system(spark, path)
+        fs.delete(at, True)
+        fs.cancelDeleteOnExit(at)
+    return len(paths)
