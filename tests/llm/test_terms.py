@@ -94,19 +94,39 @@ def test_scores_of_nothing(spark):
     assert distinctive.term_scores(spill(spark, []), d).collect() == []
 
 
+def counters(terms):
+    return pa.table({"term": pa.array(terms, pa.string()), "occurrences": pa.array([2] * len(terms), pa.int64()), "files": pa.array([1] * len(terms), pa.int64())})
+
+
 def test_burst_trie():
     rng = random.Random(4)
-    trie, truth = burst_trie.BurstTrie(8), Counter()
-    for _ in range(4000):
-        t = "".join(rng.choice("abé") for _ in range(rng.randint(0, 6)))
-        trie.add(t, 2, 1)
-        truth[t] += 1
-    assert dict(trie.items()) == {t: [2 * n, n] for t, n in truth.items()}
-    assert all(len(b) <= 8 for at, b in trie.containers.items() if any(len(t) > len(at) for t in b))
-    long = burst_trie.BurstTrie(1)
-    for t in ("x" * 3000 + "a", "x" * 300 + "b", "x" * 300):
-        long.add(t, 1, 1)
-    assert len(list(long.items())) == 3
+    terms = ["".join(rng.choice("abé") for _ in range(rng.randint(0, 6))) for _ in range(4000)]
+    inner = frozenset(["", "a", "ab", "é"])
+    for routing in (frozenset(), inner):
+        trie = burst_trie.BurstTrie(counters(terms), 8, routing)
+        held = trie.table.to_pylist()
+        assert {r["term"]: (r["occurrences"], r["files"]) for r in held} == {t: (2 * n, n) for t, n in Counter(terms).items()}
+        ends = [*trie.starts[1:].tolist(), len(held)]
+        for prefix, low, high in zip(trie.prefixes, trie.starts.tolist(), ends):
+            assert low < high <= low + 8 and all(r["term"].startswith(prefix) for r in held[low:high])
+            assert prefix not in routing or high == low + 1
+        for r, route in zip(held, trie.routes(routing).to_pylist()):
+            t = r["term"]
+            assert route == next((t[:k] for k in range(len(t)) if t[:k] not in routing), t)
+    long = burst_trie.BurstTrie(counters(["x" * 30_000 + "a", "x" * 300 + "b", "x" * 300]), 1)
+    assert long.prefixes == ["x" * 300, "x" * 300 + "b", "x" * 301]
+    assert burst_trie.BurstTrie(counters([]), 4).prefixes == []
+
+
+def test_merge_holds_one_batch():
+    # A million different terms under one route, in batches; what is held over is one row.
+    batches = (pa.RecordBatch.from_arrays([pa.array(["r"] * 10_000), pa.array([f"t{i // 2:09d}" for i in range(k, k + 10_000)]), pa.array([3] * 10_000), pa.array([1] * 10_000)], ["route", "term", "occurrences", "files"]) for k in range(1, 1_000_001, 10_000))
+    seen, last = 0, ""
+    for b in burst_trie._merge(batches):
+        for t, o, f in zip(*(c.to_pylist() for c in b.columns)):
+            assert t > last and (o, f) == ((3, 1) if t in ("t000000000", "t000500000") else (6, 2))
+            seen, last = seen + 1, t
+    assert seen == 500_001
 
 
 def test_term_counts(spark):
@@ -117,6 +137,7 @@ def test_term_counts(spark):
     for (t, _), q in pairs.items():
         occurrences[t] += q
     assert got == {t: (occurrences[t], n) for t, n in files.items()}
+    assert got == {r["term"]: (r["occurrences"], r["files"]) for r in burst_trie.term_counts(spill(spark, rows), routes=3).collect()}
     marks = {r["term"]: r["mark"] for r in burst_trie.marked(burst_trie.term_counts(spill(spark, rows)), 60).collect()}
     assert marks == {t: "rare" if n < 3 else "common" if n > 27 else None for t, n in files.items()}
 
