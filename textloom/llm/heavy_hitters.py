@@ -17,6 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 #: Summaries merged by one task.
 FAN_IN = 32
 _SUMMARY = "part bigint, item string, counter bigint, lost bigint, rows bigint"
@@ -58,8 +60,9 @@ def misra_gries(df: DataFrame, item: str, capacity: int) -> DataFrame:
     task reads more than ``FAN_IN * capacity`` counters at any input size.
     """
     one = df.select(F.col(item).cast("string").alias("item")).filter("item is not null")
-    parts = one.mapInArrow(_summarize(capacity), _SUMMARY)
-    left = df.rdd.getNumPartitions()
+    # Written, so that the rounds go by the summaries there are, and none is made again.
+    parts = materialize(one.mapInArrow(_summarize(capacity), _SUMMARY), "summaries")
+    left = (parts.agg(F.max("part")).first()[0] or 0) + 1
     while left > 1:
         grouped = parts.withColumn("part", F.floor(F.col("part") / FAN_IN))
         parts = grouped.groupBy("part").applyInArrow(_merge(capacity), _SUMMARY)
