@@ -132,6 +132,30 @@ def test_mix_queries_reach_every_share(spark, tmp_path):
     assert dict(selection.collect()) == {"large": 240, "small": 30}
 
 
+@pytest.mark.parametrize("weight", [1.0, 0.01])
+def test_key_ranges_are_even(spark, monkeypatch, weight):
+    # With low weights the keys are large; the range in which the budget ends still holds few documents.
+    monkeypatch.setattr(mixing, "RANGES", 64)
+    d = spark.range(6000).selectExpr("id as doc_id", "10L as tokens", f"{weight}D as quality", "'a' as source")
+    targets = spark.createDataFrame([("a", 1.0, 1)], "source string, target_share double, max_repeats int")
+    seen = []
+    real = mixing.materialize
+    monkeypatch.setattr(mixing, "materialize", lambda df, name: seen.append(df) or real(df, name))
+    selection, _ = mixing.mix(d, targets, total=30_000)
+    assert selection.count() == 3000
+    keyed = real(seen[0], "k").toPandas().sort_values(["key", "doc_id"])
+    assert set(keyed["doc_id"][:3000]) == {r["doc_id"] for r in selection.select("doc_id").collect()}
+
+
+def test_text_quality():
+    from textloom.llm.tokens import text_quality
+
+    assert text_quality("") == text_quality("... !!!\n") == 0
+    good = "The reader opens every block once and closes it.\nThen it writes the table."
+    assert 0 < text_quality("ok") < text_quality("ok " * 50 + "\nok") and text_quality(good) > text_quality(good + "\n" + good)
+    assert text_quality(good) > text_quality(good + " #### $$$$ ---- ====") and text_quality("读取块。" * 30) <= 1
+
+
 def test_mix_saturates(spark):
     docs, d, targets = mix_inputs(spark)
     big = sum(t for _, t, _, s in docs if s and s.strip().lower() == "big")

@@ -3,19 +3,24 @@
 Each source gets a budget of tokens. As many complete epochs as fit come first;
 the rest is filled in the order of exponential keys -ln(u) / weight, where u is a
 hash of the document and the weight its quality, up to the budget. Order and
-prefix sums are distributed: the tokens of key ranges are summed first, and only
+prefix sums are distributed: each source's keys are cut into ranges of about equally many
+documents, at approximate quantiles of the keys themselves, the tokens of the ranges are summed, and only
 the one range per source in which the budget ends is looked at row by row.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 
-#: Key ranges per source.
-RANGES = 1 << 16
+#: Key ranges per source, and the relative error of their bounds' ranks.
+RANGES, ACCURACY = 1 << 12, 1 << 14
 
 
 def source_name(source: Column) -> Column:
@@ -70,16 +75,33 @@ def mix(docs: DataFrame, targets: DataFrame, total: int | None = None, seed: int
     ``docs``: ``doc_id, tokens, quality, source``. ``selection``: ``doc_id, source, tokens, repeats``, repeats of at
     least 1 and at most the source's ``max_repeats``. ``shares``: a row per target source with its budget and actual share.
     ``total`` and ``reach`` are those of ``budgets``. Documents of sources without target, of
-    null source, and without tokens are not selected. Weights are the quality, at least 0.01.
+    null source, and without tokens are not selected. Weights are the quality, at least 0.01; ``tokens.text_quality`` is one, any column of a
+    table's own may take its place.
     """
     spark = docs.sparkSession
     held = docs.filter("tokens > 0").select("doc_id", source_name(F.col("source")).alias("source"), F.col("tokens").cast("bigint").alias("tokens"), F.greatest(F.coalesce("quality", F.lit(0.0)), F.lit(0.01)).alias("weight"))
-    # A uniform number from the id, then the exponential key; p is the key's place among all keys, evenly spread.
+    # A uniform number from the id, then the exponential key.
     u = (F.pmod(F.xxhash64(F.col("doc_id"), F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    keyed = held.withColumn("key", -F.log(u) / F.col("weight")).withColumn("range", F.floor((1 - F.exp(-F.col("key"))) * RANGES).cast("int"))
-    keyed = materialize(keyed.select("doc_id", "source", "tokens", "key", "range"), "keyed")
+    keyed = held.withColumn("key", -F.log(u) / F.col("weight"))
+    keyed = materialize(keyed.select("doc_id", "source", "tokens", "key"), "keyed")
     rows = budgets(keyed.groupBy("source").agg(F.sum("tokens").alias("tokens")), targets, total, reach)
     plan = spark.createDataFrame([(r["source"], r["target_share"], r["max_repeats"], r["available"], r["budget"], r["epochs"], r["rest"]) for r in rows], "source string, target_share double, max_repeats int, available bigint, budget double, epochs int, rest double")
+    # Bounds of the ranges of the sources with a target: ``RANGES`` numbers each, from sketches of bounded size.
+    cuts = [i / RANGES for i in range(1, RANGES)]
+    bounds = keyed.join(F.broadcast(plan.filter("rest > 0").select("source")), "source", "left_semi").groupBy("source").agg(F.percentile_approx("key", cuts, ACCURACY).alias("cuts"))
+    bounds = {r["source"]: np.unique(r["cuts"]) for r in bounds.collect()}
+    shared = spark.sparkContext.broadcast(bounds)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sources, keys = b.column(1).to_pylist(), b.column(3).to_numpy()
+            at = np.zeros(len(keys), np.int32)
+            for source in set(sources) & shared.value.keys():
+                own = np.array([s == source for s in sources])
+                at[own] = np.searchsorted(shared.value[source], keys[own], side="left")
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(at)], [*b.schema.names, "range"])
+
+    keyed = keyed.select("doc_id", "source", "tokens", "key").mapInArrow(place, "doc_id bigint, source string, tokens bigint, key double, range int")
     sums = keyed.groupBy("source", "range").agg(F.sum("tokens").alias("sum"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = sums.withColumn("before", F.coalesce(F.sum("sum").over(before), F.lit(0))).join(F.broadcast(plan.select("source", "rest")), "source")

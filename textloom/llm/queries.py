@@ -118,7 +118,7 @@ def p8_filled(spark, sf):
 
 
 def _mixed(spark, sf):
-    sizes = tokens.token_sizes(_read(spark, sf, "documents"), keep=("source",))
+    sizes = tokens.token_sizes(_read(spark, sf, "documents"), keep=("source",), rated=True)
     return mixing.mix(sizes, _read(spark, sf, "mix_target"), reach=True)
 
 

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 FOLDER, VOCABULARY = "/opt/tokenizers", "byte_bpe_multi_50k.tiktoken"
 #: The pre-tokenizing pattern of that vocabulary. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-_LETTER = regex.compile(r"[\p{L}\p{M}\p{N}]")
+_LETTERS = regex.compile(r"[\p{L}\p{M}\p{N}]+")
+#: Words at which a text counts half for its length in ``text_quality``.
+HALF_LENGTH = 10
 #: Longest run handed to the tokenizer at once; its time grows faster than the length of a run without a boundary.
 PIECE = 100_000
 
@@ -47,10 +49,21 @@ def count_tokens(text: str, path: str) -> int:
     return total
 
 
-def token_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), folder: str = FOLDER, vocabulary: str = VOCABULARY) -> DataFrame:
+def text_quality(text: str) -> float:
+    """From 0 to 1, the geometric mean of three: the share of letters and digits among the visible characters, the share of lines not
+    seen before in the text, and a length that saturates, words / (words + HALF_LENGTH). 0 for a text without words."""
+    runs = _LETTERS.findall(text)
+    visible = len(text) - sum(map(text.count, " \n\t\r"))
+    if not runs or visible <= 0:
+        return 0.0
+    lines = [x for x in map(str.strip, text.split("\n")) if x]
+    return (sum(map(len, runs)) / visible * len(set(lines)) / len(lines) * len(runs) / (len(runs) + HALF_LENGTH)) ** (1 / 3)
+
+
+def token_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), folder: str = FOLDER, vocabulary: str = VOCABULARY, rated: bool = False) -> DataFrame:
     """``doc_id, tokens, quality`` and the columns of ``keep``: one row per document, without the text.
 
-    ``quality``: the share of letters and digits among the visible characters. Null and empty texts have
+    ``quality``: that of ``text_quality`` if ``rated``, else 0. Null and empty texts have
     0 tokens and quality 0. Of repeated rows of a document the one with most tokens counts.
     """
     path = str(Path(folder) / vocabulary)
@@ -62,8 +75,7 @@ def token_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", kee
             for t in b.column(1).to_pylist():
                 t = t or ""
                 tokens.append(count_tokens(t, path))
-                visible = len(t) - sum(map(t.count, " \n\t\r"))
-                quality.append(len(_LETTER.findall(t)) / visible if visible > 0 else 0.0)
+                quality.append(text_quality(t) if rated else 0.0)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(tokens, pa.int64()), pa.array(quality, pa.float64()), *b.columns[2:]], ["doc_id", "tokens", "quality", *b.schema.names[2:]])
 
     kept = [f"keep_{i}" for i in range(len(keep))]
