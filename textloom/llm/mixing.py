@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 #: Key ranges per source, and the relative error of their bounds' ranks.
-RANGES, ACCURACY = 1 << 12, 1 << 14
+RANGES, ACCURACY = 1 << 11, 1 << 14
 
 
 def source_name(source: Column) -> Column:
