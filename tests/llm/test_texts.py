@@ -213,6 +213,62 @@ def test_blocks():
     assert [body[a:b] for a, b in sentences.sentences(body)] == want
 
 
+LANGUAGE_CASES = [
+    "We chose option d. ¦ Then we left.",
+    "He climbed the col. ¦ Then he rested. ¦ We met Col. Brask.",
+    "He wore a cap. ¦ 20 men followed.",
+    "The U.S. Senate met today. ¦ He lives in the U.S. ¦ The Senate met.",
+    "Sen. Warren and Gov. Brown met J. K. Velt there.",
+    "O Exmo. Sr. Silva não veio. ¦ A Dra. Lima veio.",
+    "To jest hab. Nowak. ¦ Nie ma go.",
+    "Bu Bkz. Şekil 3 ve 4. ¦ O da var.",
+    "It answers in 35.81 s. ¦ Dr. Velt saw it. ¦ M. D. Velt did not.",
+    "Das war z. B. 2 MB groß. ¦ Siehe Abb. 3 und S. 4.",
+    "Is it “late”? ¦ It is v. 3 (see p. 4). ¦ Never!",
+]
+
+
+@pytest.mark.parametrize("case", LANGUAGE_CASES)
+def test_abbreviations_by_language(case):
+    want = case.split(" ¦ ")
+    body = " ".join(want)
+    assert [body[a:b] for a, b in sentences.sentences(body)] == want
+
+
+#: One case for each rule of the standard property, as tailored.
+RULE_CASES = {
+    "SB5": "He said no.\u0301 ¦ Then left.",
+    "SB6": "It is 3.4 or .5 of it.",
+    "SB7": "See U.N and a.B today.",
+    "SB8": "It runs approx. (so they say) daily etc. and nightly.",
+    "SB8 digits": "It grew. ¦ 14 blocks are left.",
+    "SB8a": "Is it late?, he asked. ¦ Why?! ¦ Yes.",
+    "SB9": "(It is late.) ¦ He left.”) ¦ Then came.",
+    "SB10": "It is late.  \t ¦ It is cold.",
+    "SB11": "One. ¦ Two! ¦ Three? ¦ Four።  ¦ Five.",
+}
+
+
+@pytest.mark.parametrize("case", RULE_CASES.values(), ids=RULE_CASES.keys())
+def test_rules(case):
+    want = [c.strip() for c in case.split("¦")]
+    body = "".join(c for c in case.replace(" ¦ ", " "))
+    assert [body[a:b] for a, b in sentences.sentences(body)] == want
+
+
+def test_fences():
+    body = "One. Two.\n```py\nx = 1.\nThree goes on. Four."
+    assert [body[a:b] for a, b in sentences.sentences(body)] == ["One.", "Two.", "x = 1.", "Three goes on.", "Four."]
+    body = "~~~\nin\n```\nin\n~~~~\nOut.\n```\nin\n```  \nEnd\n````\nopen."
+    assert [body[a:b] for a, b in sentences.sentences(body)] == ["Out.", "End", "open."]
+    assert sentences.sentences("```\nx.\n```\n") == []
+
+
+def test_label_is_the_last_resort():
+    body = "xx cap. 20 yy."
+    assert len(sentences.sentences(body, "EN")) == 2 and len(sentences.sentences(body, "es")) == 1 and len(sentences.sentences(body, None)) == 1
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet="aB é1.!?…。(\"“”)«» \n\r|#-*`ก😀", max_size=60))
 def test_units_are_ordered_and_trimmed(body):

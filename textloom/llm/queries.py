@@ -132,7 +132,7 @@ def p9_shares(spark, sf):
 
 
 def p10_found(spark, sf):
-    return sentences.sentence_units(_read(spark, sf, "documents"))
+    return sentences.sentence_units(_read(spark, sf, "documents"), lang="lang")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_summary, p2_found, p2_scores, p3_found, p3_counts, p4_found, p4_files, p4_rates, p5_found, p5_nearest, p6_found, p6_classes, p7_found, p7_files, p7_statistics, p8_containers, p8_filled, p9_selection, p9_shares, p10_found)}
