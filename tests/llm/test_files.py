@@ -48,6 +48,104 @@ def test_invalid(language, body):
     assert syntax.fault(language, body.encode()) is not None
 
 
+def test_python_automaton_on_the_standard_library():
+    # No false alarm on valid sources; the parser's word is not needed for them.
+    import os
+    from pathlib import Path
+
+    alarms = []
+    for f in sorted(Path(os.__file__).parent.glob("*.py"))[:120]:
+        bare = syntax._SKIP["python"].sub(syntax._reduce, f.read_text("utf-8", "replace"))
+        if syntax._python_fault(bare):
+            alarms.append(f.name)
+    assert not alarms
+
+
+@pytest.mark.parametrize(
+    ("body", "reason"),
+    [
+        ("def f()\n    pass\n", "statement head"), ("class :\n    pass\n", "statement head"), ("if x\n    y\n", "statement head"), ("for x of y:\n    z\n", "statement head"),
+        ("if x:\ny = 1\n", "indentation"), ("x = 1\n  y = 2\n", "indentation"), ("if x:\n    a\n  b\n", "indentation"), ("if x:\n    a\n\tb\n", "indentation"), ("def f():\n", "indentation"),
+        ("x = 1\nelse:\n    y\n", "clause without its statement"), ("if x:\n    y\nfinally:\n    z\n", "clause without its statement"),
+        ("x = a b\n", "operands and operators"), ("x = f(a) b\n", "operands and operators"), ("x = (a +)\n", "operands and operators"), ("x =\n", "operands and operators"), ("x = lambda a\n", "operands and operators"), ("del\n", "operands and operators"),
+    ],
+)
+def test_python_automaton(body, reason):
+    assert syntax._python_fault(body) == reason and syntax.fault("python", body.encode()) == reason
+
+
+@pytest.mark.parametrize(
+    ("language", "body"),
+    [
+        ("rust", "use a::b;\nuse c::d"), ("rust", "fn f() {}\npub fn g(x: T) -> U"), ("java", "package a;\nimport b.c.D"), ("javascript", "let a = 1;\nfunction f(a, b)"), ("javascript", "let a ="), ("javascript", "import { a } from"),
+        ("typescript", "const x: T =\n"), ("typescript", "import * as x"), ("go", "package p\nimport"), ("go", "package p\nfunc (a *B)"), ("go", "package p\nimpor\n"), ("kotlin", "package p\nimport a."), ("kotlin", "package p\nfun"), ("kotlin", "package p\nimpor\n"),
+    ],
+)
+def test_truncated_between_delimiters(language, body):
+    assert syntax.fault(language, body.encode()) is not None
+
+
+@pytest.mark.parametrize(
+    ("language", "body"),
+    [
+        ("rust", "#![no_std]\n"), ("rust", "m! { x }\n// end"), ("javascript", "i++"), ("javascript", "let x"), ("javascript", "export default a\n"), ("javascript", "x => y"), ("typescript", "declare function f(): void;\nlet a: B\n"),
+        ("go", "package p\nvar (\n\ta = 1\n)\ntype T struct {\n\tx int\n}\nfunc f() int\n"), ("kotlin", "package p\n@A\ninternal val x: T\n    get() = 1\nval y =\n    z\n"), ("kotlin", "fun f(x: T): U =\n    x\n        .y()\n"),
+    ],
+)
+def test_whole_ends(language, body):
+    assert syntax.fault(language, body.encode()) is None
+
+
+def test_json_automaton_against_the_parser():
+    import json
+
+    rng = random.Random(8)
+    whole = '{"a": [1, -2.5e3, {"b": null}, []], "c\\n": {"d": "x,y", "e": true}, "f": {}}'
+    for _ in range(4000):
+        body = list(whole)
+        for _ in range(rng.randint(1, 2)):
+            i = rng.randrange(len(body))
+            body[i : i + rng.randint(0, 2)] = rng.choice(["", ",", ":", "]", "}", "[", "{", '"', "1", "a", " "])
+        body = "".join(body)
+        try:
+            json.loads(body)
+            ok = True
+        except ValueError:
+            ok = False
+        assert (syntax._json_automaton(body) is None) == ok, body
+
+
+def test_toml_automaton_against_the_parser():
+    import tomllib
+
+    rng = random.Random(9)
+    whole = 'a = "x"\n[b."c d"]\ne.f = [1, 2.5,\n 3]\ng = {h = true, i = 1979-05-27}\n[[j]]\nk = \'l\'\n'
+    assert syntax._toml_automaton(whole) is None
+    missed = 0
+    for _ in range(3000):
+        body = list(whole)
+        i = rng.randrange(len(body))
+        body[i : i + rng.randint(0, 2)] = rng.choice(["", ",", "=", "]", "}", "[", "{", '"', "1", "\n", " "])
+        body = "".join(body)
+        try:
+            tomllib.loads(body)
+            assert syntax._toml_automaton(body) is None, body
+        except tomllib.TOMLDecodeError:
+            missed += syntax._walk(syntax._TOML_LEX, body) is None and syntax._toml_automaton(body) is None
+    assert missed < 60
+
+
+@pytest.mark.parametrize("body", ["<a b='1' b='2'/>", "<a>&x</a>", "x<a/>", "<a/>x", "<a/><?xml version='1.0'?>", "<a b='1'c='2'/>", "<a>]]></a>", "<1a/>"])
+def test_xml_automaton(body):
+    assert syntax._xml_automaton(body) is not None and syntax.fault("xml", body.encode()) is not None
+
+
+def test_deep_nesting_changes_no_verdict():
+    for language, body in (("json", b"[" * 50_000 + b"]" * 50_000), ("python", b"x = " + b"(" * 3000 + b"1" + b")" * 3000), ("toml", b"x = " + b"[" * 20_000 + b"]" * 20_000)):
+        assert syntax.fault(language, body) is None
+        assert syntax.fault(language, body[:-1]) is not None
+
+
 @pytest.mark.parametrize("language", syntax.text.LANGUAGE_OF.values())
 def test_any_bytes(language):
     rng = random.Random(5)
