@@ -4,6 +4,7 @@ import random
 from functools import partial
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from textloom.llm import queries, set_join, vector_graph
@@ -125,15 +126,29 @@ def test_set_join(spark):
     assert rep == {i: min(j for j in s if s[j] == s[i]) for i in s}
 
 
-def test_large_nodes_are_compared_in_blocks(spark):
+@pytest.mark.parametrize("levels", [2, 64])
+def test_large_nodes_are_compared_in_blocks(spark, levels):
     # Every set shares most of its items with every other: no node ever gets small.
-    rng = random.Random(4)
     common = [f"c{i}" for i in range(30)]
-    rows = [(i, common + [f"u{i}a", f"u{i}b"] + rng.sample(common, 0)) for i in range(260)]
+    rows = [(i, common + [f"u{i}a", f"u{i}b"]) for i in range(260)]
     df = spark.createDataFrame(rows, "id bigint, items array<string>")
     classes, _ = set_join.set_classes(df, "id", F.col("items"), 5)
     pairs = 260 * 259 // 2
-    assert 0.99 * pairs <= set_join.similar_classes(classes, 0.7, levels=2).count() <= pairs
+    assert 0.99 * pairs <= set_join.similar_classes(classes, 0.7, levels=levels, block=64).count() <= pairs
+
+
+def test_many_sets_in_one_node_and_many_copies(spark):
+    # 20,000 sets that share a third of their items, and 30,000 copies of one set beside them.
+    spread = spark.range(20_000).selectExpr("id", "concat(array('h1', 'h2', 'h3', 'h4'), transform(sequence(1, 8), i -> concat('w', pmod(xxhash64(id, i), 4000)))) as items")
+    near = spark.range(0, 20_000, 40).selectExpr("id + 100000 as id", "concat(array('h1', 'h2', 'h3', 'h4', 'new'), transform(sequence(1, 8), i -> concat('w', pmod(xxhash64(id, i), 4000)))) as items")
+    copies = spark.range(30_000).selectExpr("id + 200000 as id", "transform(sequence(1, 9), i -> concat('c', i)) as items")
+    df = spread.union(near).union(copies)
+    classes, members = set_join.set_classes(df, "id", F.col("items"), 5)
+    pairs = set_join.similar_classes(classes, 0.7)
+    got = {(r["a"], r["b"]) for r in pairs.collect()}
+    want = {(i, i + 100_000) for i in range(0, 20_000, 40)}
+    assert len(got & want) >= 0.995 * len(want)
+    assert members.filter("rep = 200000").count() == 30_000 and not any(a >= 200_000 or b >= 200_000 for a, b in got)
 
 
 def test_members_of_large_classes_are_spread(spark):

@@ -4,7 +4,8 @@ Each set is embedded by minima under ``HASHES`` hash functions. In every tree
 a node with more than ``leaf`` records branches on ``BRANCHES`` coordinates
 drawn at random for the node: a record goes to the child named by its value
 there, so similar records tend to share a child. Small nodes are compared all
-with all; nodes that stay large are not cut, but compared in blocks. Trees are repeated to
+with all. A node that its parent's branching did not make much smaller is dense, its records are similar to each other;
+it is not cut further, but compared in blocks. All others branch on, however deep. Trees are repeated to
 the target recall, and every candidate is verified on the sets themselves.
 
 Equal sets are one class, represented by its smallest id, before anything
@@ -15,6 +16,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,13 +26,17 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 HASHES, BRANCHES = 64, 2
+#: Records of a block of a dense node. What a node keeps of its parent's records to be dense, if it is below ``HUGE`` and beyond.
+BLOCK, DENSE, DENSE_HUGE, HUGE = 1024, 0.3, 0.5, 1 << 16
+#: Levels after which all that is large counts as dense; nodes get half as large at least per level, so it takes 10^20 records to get there.
+LEVELS = 64
 #: Members of a class that are joined under one key; larger classes are salted.
 MEMBERS = 256
 _MASK = (1 << 61) - 1
 
 
 def path_recall(threshold: float, depth: int, branches: int = BRANCHES) -> float:
-    """Chance that a pair at the threshold shares a leaf of one tree after ``depth`` levels."""
+    """Chance that a pair at the threshold shares a leaf of one tree after ``depth`` levels. It has a limit above 0 if ``threshold * branches`` is above 1."""
     q = 1.0
     for _ in range(depth):
         q = 1 - (1 - threshold * q) ** branches
@@ -75,12 +81,12 @@ def _signatures(seed: int):
             flat = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             offsets = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py()
             size = np.diff(lists.offsets.to_numpy()).astype(np.int32)
-            signature = np.empty((batch.num_rows, HASHES), np.int32)
+            signature = np.empty((batch.num_rows, HASHES), np.int16)
             for i in range(HASHES):
                 h = flat * a[i] + b[i]
                 h ^= h >> np.uint64(29)
                 h *= np.uint64(0x9E3779B97F4A7C15)
-                signature[:, i] = (np.minimum.reduceat(h, offsets) >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                signature[:, i] = (np.minimum.reduceat(h, offsets) >> np.uint64(23)).astype(np.uint16).view(np.int16)
             values = pa.ListArray.from_arrays(np.arange(0, len(signature.ravel()) + 1, HASHES, dtype=np.int32), signature.ravel())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), values], ["rep", "size", "sig"])
 
@@ -93,46 +99,43 @@ def _chosen(node: Column, i: int, level: int) -> Column:
     return F.pmod(F.xxhash64(node, F.lit(level)), F.lit(step)).cast("int") + i * step
 
 
-def similar_classes(classes: DataFrame, threshold: float, recall: float = 0.995, leaf: int = 96, levels: int = 6, seed: int = 11) -> DataFrame:
+def similar_classes(classes: DataFrame, threshold: float, recall: float = 0.995, leaf: int = 96, levels: int = LEVELS, seed: int = 11, block: int = BLOCK) -> DataFrame:
     """``a, b, similarity``: pairs of classes with Jaccard similarity of at least ``threshold``, a < b.
 
-    Per level the sizes of all nodes are counted with a combine before the
-    shuffle. Records in small nodes stop there. What is still large after
-    ``levels`` goes on to be compared in blocks: a node of n records makes
-    (n / leaf)^2 / 2 block pairs in as many tasks as there are, never one.
+    ``threshold`` above 1 / ``BRANCHES``, so that the recall has a limit however deep the trees get. Per level the sizes of all nodes
+    are counted with a combine before the shuffle, ids alone are written, and signatures (128 bytes) are joined only to those
+    that branch on; the others get theirs once, for the comparison. A dense node of n records makes (n / block)^2 / 2 block pairs in as many
+    tasks as there are, never one, and copies each record n / block times.
     """
-    spark = classes.sparkSession
     trees = trees_for(threshold, levels, recall)
-    signed = materialize(classes.mapInArrow(_signatures(seed), "rep bigint, size int, sig array<int>"), "signatures")
+    signed = materialize(classes.mapInArrow(_signatures(seed), "rep bigint, size int, sig array<smallint>"), "signatures")
     node = F.explode(F.array(*[F.lit(t).cast("bigint") for t in range(trees)]))
     # Children are hashes of (node, coordinate, value); the root differs by tree.
     branch = lambda level: F.explode(F.array(*[F.xxhash64("node", _chosen(F.col("node"), i, level), F.get("sig", _chosen(F.col("node"), i, level))) for i in range(BRANCHES)]))
-    open_rows = signed.select("rep", "size", "sig", node.alias("node")).select("rep", "size", "sig", branch(0).alias("node"))
-    done = []
+    open_rows = signed.select("rep", "sig", node.alias("node")).select("rep", branch(0).alias("node"), F.lit(None).cast("bigint").alias("above"))
+    leaves, dense = [], []
     for level in range(1, levels + 1):
-        placed = materialize(open_rows.select("rep", "node"), "nodes")
+        placed = materialize(open_rows, "nodes")
         sizes = placed.groupBy("node").agg(F.count("*").alias("n")).filter("n > 1")
-        small = placed.join(sizes.filter(F.col("n") <= leaf), "node", "left_semi")
-        done.append(small)
-        large = materialize(placed.join(sizes.filter(F.col("n") > leaf), "node", "left_semi"), "large")
-        if level == levels or not large.take(1):
-            rest = large
+        counted = materialize(placed.join(sizes, "node"), "counted")
+        leaves.append(counted.filter(F.col("n") <= leaf).select("node", "rep"))
+        large = counted.filter(F.col("n") > leaf)
+        share = F.when(F.col("n") > HUGE, DENSE_HUGE).otherwise(DENSE)
+        is_dense = F.coalesce(F.col("n") > share * F.col("above"), F.lit(False)) | F.lit(level == levels)
+        dense.append(large.filter(is_dense).select("node", "rep", "n"))
+        going = large.filter(~is_dense)
+        if level == levels or not going.take(1):
             break
-        open_rows = large.join(signed, "rep").select("rep", "size", "sig", branch(level).alias("node"))
-    # Leaves: grouped by node. Large rests: blocks of a node, each compared with itself and every later one.
-    leaves = done[0]
-    for d in done[1:]:
-        leaves = leaves.union(d)
-    leaves = leaves.select("node", "rep", F.lit(0).alias("side"))
-    counted = rest.groupBy("node").agg(F.ceil(F.count("*") / leaf).cast("int").alias("blocks"))
-    cut = rest.join(counted, "node").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    paired = cut.withColumn("other", other).select(
+        open_rows = going.select("rep", "node", "n").join(signed.select("rep", "sig"), "rep").select("rep", branch(level).alias("node"), F.col("n").alias("above"))
+    # Leaves: grouped by node. Dense nodes: blocks, each compared with itself and every later one.
+    small = reduce(DataFrame.union, leaves).select("node", "rep", F.lit(0).alias("side"))
+    cut = reduce(DataFrame.union, dense).withColumn("blocks", F.ceil(F.col("n") / block).cast("int")).withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    paired = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         F.xxhash64("node", F.least("block", "other"), F.greatest("block", "other")).alias("node"),
         "rep",
         F.when(F.col("block") == F.col("other"), 0).when(F.col("block") < F.col("other"), 1).otherwise(2).alias("side"),
     )
-    nodes = leaves.union(paired).join(signed, "rep")
+    nodes = small.union(paired).join(signed, "rep")
     sorted_nodes = nodes.repartition("node").sortWithinPartitions("node").select("node", "rep", "size", "side", "sig")
     pairs = sorted_nodes.mapInArrow(_compare(threshold), "a bigint, b bigint").distinct()
     return verified(pairs, classes, threshold)
@@ -144,7 +147,8 @@ def _compare(threshold: float):
     Rows ``d`` places apart are paired for d = 1, 2, ... while any two share a
     node; a node that goes on in the next batch is kept for it.
     """
-    # Share of equal minima below which a pair at the threshold falls with a chance under 1e-4.
+    # Number of equal minima below which a pair at the threshold falls with a chance under 1e-4; such pairs are left out before the exact
+    # check, as a part of what the recall leaves open.
     floor = int(HASHES * threshold - 3.9 * math.sqrt(HASHES * threshold * (1 - threshold)))
 
     def pairs(node, rep, size, side, sig) -> pa.RecordBatch:
