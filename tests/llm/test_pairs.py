@@ -22,6 +22,28 @@ def test_graph_recall():
     assert hits >= 0.9 * near.size
 
 
+def test_a_hub_keeps_its_nearest():
+    # 300 vectors at once get an edge back from one node; the nearest of them are among its candidates.
+    rng = np.random.default_rng(3)
+    x = np.concatenate([[np.eye(8)[0]], np.eye(8)[0] + rng.normal(size=(300, 8)) * np.linspace(1, 0.01, 300)[:, None]]).astype("f4")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    edges = np.full((301, 4), -1, np.int32)
+    edges[1:, 0] = 0
+    vector_graph._add_back(x, edges, np.arange(1, 301), 4, 1.15)
+    assert (x[1:] @ x[0]).argmax() + 1 in edges[0]
+
+
+def test_queries_start_from_their_own_place():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 24)).astype("f4")
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    g = vector_graph.build_graph(np.arange(3000) * 7, x)
+    found, sim = g.search(x, 30, keys=np.arange(3000) * 7)
+    assert (g.ids[found[:, 0]] == np.arange(3000) * 7).all()
+    other, _ = g.search(x[:50], 30, keys=np.arange(50) * 7 + 1)
+    assert (other >= 0).all()
+
+
 def test_tiny_graphs():
     for n in (0, 1, 2, 5):
         x = np.eye(5, dtype="f4")[:n]
