@@ -26,9 +26,10 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 HASHES, BRANCHES = 64, 2
-#: Records of a block of a dense node. What a node keeps of its parent's records to be dense, if it is below ``HUGE`` and beyond.
-BLOCK, DENSE, DENSE_HUGE, HUGE = 1024, 0.3, 0.5, 1 << 16
-#: Levels after which all that is large counts as dense; nodes get half as large at least per level, so it takes 10^20 records to get there.
+#: Records of a block of a dense node. What a node keeps of its parent's records to be dense, if it is below ``HUGE`` and beyond, where
+#: branching on would make more copies of its records than blocks do.
+BLOCK, DENSE, DENSE_HUGE, HUGE = 1024, 0.6, 0.4, 1 << 16
+#: Levels after which all that is large counts as dense; nodes shrink to 0.6 at most per level, so it takes 10^14 records to get there.
 LEVELS = 64
 #: Members of a class that are joined under one key; larger classes are salted.
 MEMBERS = 256
