@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 HASHES, BRANCHES = 64, 2
-#: Records of a block of a dense node. What a node keeps of its parent's records to be dense, if it is below ``HUGE`` and beyond, where
-#: branching on would make more copies of its records than blocks do.
-BLOCK, DENSE, DENSE_HUGE, HUGE = 1024, 0.6, 0.4, 1 << 16
-#: Levels after which all that is large counts as dense; nodes shrink to 0.6 at most per level, so it takes 10^14 records to get there.
+#: Records of a block of a dense node; what a node keeps of its parent's records to be dense, and the levels before one is judged: a
+#: single coordinate on which a frequent item has the minimum says nothing about a node.
+BLOCK, DENSE, JUDGED = 1024, 0.6, 6
+#: Levels after which all that is large counts as dense; after ``JUDGED`` nodes shrink to 0.6 at most per level, so it takes 10^13 records to get there.
 LEVELS = 64
 #: Members of a class that are joined under one key; larger classes are salted.
 MEMBERS = 256
@@ -121,11 +121,10 @@ def similar_classes(classes: DataFrame, threshold: float, recall: float = 0.995,
         counted = materialize(placed.join(sizes, "node"), "counted")
         leaves.append(counted.filter(F.col("n") <= leaf).select("node", "rep"))
         large = counted.filter(F.col("n") > leaf)
-        share = F.when(F.col("n") > HUGE, DENSE_HUGE).otherwise(DENSE)
-        is_dense = F.coalesce(F.col("n") > share * F.col("above"), F.lit(False)) | F.lit(level == levels)
+        is_dense = F.lit(level >= JUDGED) & F.coalesce(F.col("n") > F.lit(DENSE) * F.col("above"), F.lit(False)) | F.lit(level == levels)
         dense.append(large.filter(is_dense).select("node", "rep", "n"))
         going = large.filter(~is_dense)
-        if level == levels or not going.take(1):
+        if not going.take(1):
             break
         open_rows = going.select("rep", "node", "n").join(signed.select("rep", "sig"), "rep").select("rep", branch(level).alias("node"), F.col("n").alias("above"))
     # Leaves: grouped by node. Dense nodes: blocks, each compared with itself and every later one.
