@@ -190,7 +190,7 @@ ORACLE_SQL = {
     "p1_found": "select term from spill_file where term <> '' group by term having count(*) >= 0.004 * (select count(*) from spill_file where term <> '')",
     "p1_bounds": "select 0::bigint as wrong, 0::bigint as missed",
     "p5_nearest": f"select a as file_id, b as other, round(c, 3) as similarity from (select a.file_id as a, b.file_id as b, list_dot_product(a.v, b.v) as c from {_UNIT} a join {_UNIT} b on a.file_id <> b.file_id where a.file_id % 50 = 0 qualify row_number() over (partition by a.file_id order by c desc, b.file_id) <= 5)",
-    "p8_checked": "select spec_id, capacity::bigint as capacity, (select count(distinct doc_id) from documents) as documents, 0::bigint as overfull, 0::bigint as split, 0::bigint as lost, false as wasteful from container_spec",
+    "p8_checked": "select spec_id, capacity, (select count(distinct doc_id) from documents) as documents, 0::bigint as overfull, 0::bigint as split, 0::bigint as lost, false as wasteful from container_spec",
     "p9_checked": "select source, target_share, max_repeats, true as kept, true as reached from mix_target",
     "p2_found": f"select file_id, arg_min(term, (-score, term)) as term from ({_SCORES}) where file_id in (select file_id from probe_file) group by file_id",
     "p2_scores": f"select file_id, term, tf, df, round(score, 6) as score from ({_SCORES})",
