@@ -115,6 +115,27 @@ def test_skipped_shards_hold_nothing_near():
     assert all(p in asked for p in zip(a.tolist(), own[b].tolist()))
 
 
+def test_routes_to_many_centroids_come_in_small_batches():
+    # As many centroids as 6 GB of vectors have; a worker must not hold a batch once per centroid.
+    rng = np.random.default_rng(8)
+    c, x = (z / np.linalg.norm(z, axis=1, keepdims=True) for z in (rng.normal(size=(300, 64)).astype("f4"), rng.normal(size=(1000, 64)).astype("f4")))
+    batch = vector_graph.pa.RecordBatch.from_arrays([vector_graph.pa.array(range(1000)), vector_graph.pa.array(list(x))], ["rep", "v"])
+    sizes = [b.num_rows for b in vector_graph._route(c, 300)([batch])]
+    assert sum(sizes) == 300_000 and max(sizes) <= 40_000
+
+
+def test_rounds_find_what_one_round_finds(spark, monkeypatch):
+    _, df = vectors(spark)
+    ask = partial(vector_graph.nearest, df, "id", "vec", k=5, dim=8, shard=60)
+    rows = sorted(map(tuple, ask().collect()))
+    monkeypatch.setattr(vector_graph, "ROUND", 20_000)
+    monkeypatch.setattr(vector_graph, "PIECE", 999)
+    monkeypatch.setattr(vector_graph, "ROUNDS", 1)
+    assert sorted(map(tuple, ask().collect())) == rows
+    close = sorted(map(tuple, ask(least=0.8).collect()))
+    assert close == [r for r in rows if r[2] >= 0.8] and len(close) < len(rows)
+
+
 def sets(spark, seed=3):
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(3000)]
